@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subjectseries.functions.scalars import US_PER_DAY, bucket_index, epoch_us
+from subjectseries.functions.scalars import US_PER_DAY, bucket_index, epoch_us, integral_div
 
 DEFAULT_CHUNK_US = US_PER_DAY
 
@@ -25,16 +25,15 @@ def observations(
     reduced before the first shuffle. ``value``/``source`` are only meaningful
     where ``n`` is 1; elsewhere the smallest is taken.
     """
-    src = F.col(source) if source else F.lit(None).cast("string")
-    return (
-        df.select(*keys, epoch_us(time).alias("us"), F.col(value).alias("value"), src.alias("source"))
-        .groupBy(*keys, "us")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("value"),
-            F.min("source").alias("source"),
-        )
+    columns = [*keys, epoch_us(time).alias("us"), F.col(value).alias("value")]
+    smallest = [F.min("value").alias("value")]
+    if source:
+        columns.append(F.col(source).alias("source"))
+        smallest.append(F.min("source").alias("source"))
+    grouped = df.select(*columns).groupBy(*keys, "us").agg(
+        F.count(F.lit(1)).alias("n"), *smallest
     )
+    return grouped if source else grouped.withColumn("source", F.lit(None).cast("string"))
 
 
 def with_chunk(df: DataFrame, us: str = "us", width_us: int = DEFAULT_CHUNK_US) -> DataFrame:
@@ -104,3 +103,20 @@ def adjacent_pairs(
         .select(*keys, "prev", "next")
     )
     return inside.unionByName(across)
+
+
+def expand_copies(df: DataFrame, count: str = "n", block: int = 65_536, spread: bool = False) -> DataFrame:
+    """Repeat each row ``count`` times.
+
+    Expansion goes through blocks so that no large array is built. ``spread``
+    shuffles at block level, which divides an instant with very many copies over
+    tasks; use it when the result is written out.
+    """
+    blocks = integral_div(F.col(count) - 1, block)
+    out = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks)))
+    if spread:
+        out = out.repartition("subject_id", "us", "_block")
+    size = F.least(F.lit(block).cast("bigint"), F.col(count) - F.col("_block") * block)
+    return out.withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)) + F.col("_block") * block
+    ).drop("_block")
