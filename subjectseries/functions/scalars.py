@@ -100,13 +100,15 @@ def overlap_seconds(
 
 
 def round1(value: Column | str) -> Column:
-    return F.round(as_col(value), 1)
+    """One decimal, halves away from zero, as a double."""
+    return F.round(as_col(value), 1).cast("double")
 
 
 def exact_mean(value: Column | str) -> Column:
-    """Mean of a decimal column as a double: the sum is exact, so order cannot matter."""
+    """Mean of a decimal column, as a decimal: neither row order nor rounding of the
+    sum can move it, so a later rounding to one place is well defined."""
     value = as_col(value)
-    return F.sum(value).cast("double") / F.count(value)
+    return F.sum(value) / F.count(value)
 
 
 def rate(part: Column | str, whole: Column | str) -> Column:

@@ -16,7 +16,6 @@ from subjectseries.functions.scalars import (
     exact_mean,
     from_us,
     local_date,
-    round1,
 )
 from subjectseries.operators.distribution import frequency_median
 
@@ -97,10 +96,6 @@ def daily_summary(df: DataFrame, time: str, value: str, tz: str) -> DataFrame:
     return summary(with_day, ["subject_id", "local_date"], time, value)
 
 
-def rounded_stats(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.withColumns({name: round1(F.col(name).cast("double")) for name in names})
-
-
 def duplicate_count(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Rows minus distinct rows, per ``keys``; copies are merged before they are counted."""
     return (

@@ -117,6 +117,8 @@ def expand_copies(df: DataFrame, count: str = "n", block: int = 65_536, spread:
     if spread:
         out = out.repartition("subject_id", "us", "_block")
     size = F.least(F.lit(block).cast("bigint"), F.col(count) - F.col("_block") * block)
-    return out.withColumn(
-        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)) + F.col("_block") * block
-    ).drop("_block")
+    return (
+        out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+        .withColumn("copy", F.col("copy") + F.col("_block") * block)
+        .drop("_block")
+    )

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from subjectseries.functions.scalars import integral_div
-
 PERCENTS = {"p50": 0.5, "p90": 0.9, "p95": 0.95}
 _MANTISSA_BITS = 12
 
@@ -36,7 +35,7 @@ def distribution(
     scale: float = 1.0,
     include_mean: bool = False,
 ) -> DataFrame:
-    """Count, min, percentiles, max (and mean) of a BIGINT column, per ``keys``.
+    """Count, min, percentiles, max (and mean) of a BIGINT column, per non-null ``keys``.
 
     Percentiles interpolate linearly. They are found by rank in two passes over
     value frequencies: coarse buckets give the bucket of each wanted rank, and
@@ -45,12 +44,15 @@ def distribution(
     """
     keys = list(keys)
     weight_col = F.col(weight) if weight else F.lit(1).cast("bigint")
+    # Nulls go before anything else: all branches below then read the same plan, and
+    # the input is computed and shuffled once (exchange reuse).
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, value)])
     freq = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(present)
         .select(*keys, F.col(value).cast("bigint").alias("_v"), weight_col.alias("_n"))
         .groupBy(*keys, "_v")
         .agg(F.sum("_n").alias("_n"))
-        .withColumn("_b", _coarse(F.col("_v")))
+        .withColumn("_b", F.coalesce(_coarse(F.col("_v")), F.lit(0).cast("bigint")))
     )
     buckets = freq.groupBy(*keys, "_b").agg(
         F.sum("_n").alias("_n"),

@@ -113,10 +113,15 @@ def glucose_observations(glucose: DataFrame) -> DataFrame:
 def value_summary(glucose: DataFrame, places: int = 3) -> DataFrame:
     """Min, max, mean and median of the values; exact in thousandths."""
     exact = glucose.withColumn("v", F.col("glucose_mg_dl").cast(f"decimal(18,{places})"))
+    unit = 10**places
+
+    def units(total: Column) -> Column:
+        return (total * unit).cast("double")
+
     stats = exact.groupBy("subject_id").agg(
         F.min("v").cast("double").alias("min"),
         F.max("v").cast("double").alias("max"),
-        (F.sum("v").cast("double") / F.count("v")).alias("mean"),
+        (units(F.sum("v")) / (F.count("v") * unit)).alias("mean"),
     )
     return stats.join(frequency_median(exact, ["subject_id"], "v", places), "subject_id")
 
@@ -200,7 +205,12 @@ def contiguous_segments(obs: DataFrame, policy: DiagnosticsPolicy) -> DataFrame:
     )
 
 
-def split_boundaries(obs: DataFrame, policy: DiagnosticsPolicy) -> DataFrame:
+def split_boundaries(
+    obs: DataFrame,
+    policy: DiagnosticsPolicy,
+    min_observations: int = MIN_SPLIT_OBSERVATIONS,
+    min_segments: int = MIN_SPLIT_SEGMENTS,
+) -> DataFrame:
     """Starts of all segments but a subject's first, where volume makes a split sensible."""
     found = segments(obs, policy.gap_major_minutes)
     totals = found.groupBy("subject_id").agg(
@@ -208,8 +218,8 @@ def split_boundaries(obs: DataFrame, policy: DiagnosticsPolicy) -> DataFrame:
         F.count(F.lit(1)).alias("segment_count"),
         F.min("start_us").alias("first_us"),
     )
-    enough = (F.col("observations") >= MIN_SPLIT_OBSERVATIONS) & (
-        F.col("segment_count") >= MIN_SPLIT_SEGMENTS
+    enough = (F.col("observations") >= min_observations) & (
+        F.col("segment_count") >= min_segments
     )
     return (
         found.select("subject_id", "start_us")

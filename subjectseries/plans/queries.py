@@ -200,7 +200,7 @@ def glucose_series(
         points = rows.select(
             "subject_id",
             F.col("sample_time").alias("timestamp"),
-            round1(F.col("value_mg_dl").cast("double")).alias("value_mg_dl"),
+            round1("value_mg_dl").alias("value_mg_dl"),
         )
         return paging.enforce_cap(points, max_points, "raw series").orderBy(
             "subject_id", "timestamp"
@@ -216,8 +216,8 @@ def glucose_series(
         F.col("bucket_start").alias("start"),
         F.col("bucket_end").alias("end"),
         round1(F.col("mean_value")).alias("mean_mg_dl"),
-        round1(F.col("min_value").cast("double")).alias("min_mg_dl"),
-        round1(F.col("max_value").cast("double")).alias("max_mg_dl"),
+        round1("min_value").alias("min_mg_dl"),
+        round1("max_value").alias("max_mg_dl"),
         count.alias("sample_count"),
         "source_record_count",
         "data_fresh_through",
@@ -246,9 +246,7 @@ def glucose_summary(
 
 def _named_stats(stats: DataFrame) -> DataFrame:
     for name in ("min", "max", "mean", "median"):
-        stats = stats.withColumn(
-            f"{name}_mg_dl", round1(F.col(f"{name}_value").cast("double"))
-        ).drop(f"{name}_value")
+        stats = stats.withColumn(f"{name}_mg_dl", round1(f"{name}_value")).drop(f"{name}_value")
     return stats
 
 
@@ -449,7 +447,7 @@ def glucose_before(glucose: DataFrame, keyed: DataFrame, lookback_hours: int) ->
         F.max("last_at").alias("last_at"),
         F.min("value_mg_dl").alias("min_value"),
         F.max("value_mg_dl").alias("max_value"),
-        (F.sum(F.col("value_mg_dl") * F.col("n")).cast("double") / F.sum("n")).alias("mean_value"),
+        (F.sum(F.col("value_mg_dl") * F.col("n")) / F.sum("n")).alias("mean_value"),
         (
             F.percentile((F.col("value_mg_dl") * unit).cast("bigint"), 0.5, F.col("n"))
             / F.lit(float(unit))

@@ -80,7 +80,7 @@ def extract(tables: SubjectTables, start: datetime, end: datetime) -> dict[str,
         "glucose": points(tables.glucose, "sample_time").select(
             subject,
             F.col("sample_time").alias("timestamp"),
-            round1(F.col("value_mg_dl").cast("double")).alias("glucose_mg_dl"),
+            round1("value_mg_dl").alias("glucose_mg_dl"),
         ),
         "meals": points(tables.meals, "meal_completed_at").select(
             subject,
