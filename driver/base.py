@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subjectseries.operators.chunks import observations
+from subjectseries.plans.episodes import evaluate_anchors
 from subjectseries.plans.policies import DiagnosticsPolicy, EpisodePolicy
 from subjectseries.plans.queries import SubjectTables
-from subjectseries.session import use_defaults
+from subjectseries.session import materialize, use_defaults
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,6 +200,11 @@ class Standins:
         )
         return observations(twice, "timestamp", "glucose_mg_dl")
 
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        """The evaluation written once, for reports that read it several times."""
+        return materialize(evaluate_anchors(self.obs, EPISODES), "evaluated")
+
     @cached_property
     def anchors(self) -> DataFrame:
         return self._only("error").select("subject_id", F.col("ts").alias("anchor"))

@@ -174,7 +174,7 @@ SELECT subject_id, episode_id, us AS anchor, us - {H} AS history_start, us + {14
 FROM ok LEFT JOIN cnt USING (episode_id)""",
 )
 def episode_table(t):
-    evaluated = _eval(t)
+    evaluated = t.evaluated
     events = E.event_context(evaluated, t.snap, EPISODES, DATASET)
     out = E.episodes(evaluated, EPISODES, DATASET, {"snapshot_id": "s"}, events)
     return out.select(
@@ -354,7 +354,7 @@ _Q = "count(*) AS count, CAST(min(v) AS DOUBLE) AS min, round(quantile_cont(v, 0
 SELECT measure, {_Q.format(p=3)} FROM m GROUP BY 1""",
 )
 def history_quality(t):
-    out = E.history_quality(_eval(t))
+    out = E.history_quality(t.evaluated)
     return out.withColumns({c: F.round(c, 3) for c in ("p50", "p90", "p95")})
 
 
@@ -365,7 +365,7 @@ SELECT horizon_minutes, count(*) AS count, min(v) / 1e6 AS min, round(quantile_c
   round(quantile_cont(v, 0.9) / 1e6, 5) AS p90, round(quantile_cont(v, 0.95) / 1e6, 5) AS p95, max(v) / 1e6 AS max FROM m GROUP BY 1""",
 )
 def target_quality(t):
-    out = E.target_quality(E.targets(_eval(t), DATASET))
+    out = E.target_quality(E.targets(t.evaluated, DATASET))
     return out.withColumns({c: F.round(c, 5) for c in ("p50", "p90", "p95")})
 
 
@@ -419,7 +419,7 @@ FROM (SELECT unnest(['changed values', 'grid', 'leakage', 'targets']) AS audit)
 )
 def audits(t):
     """Each audit over the real outputs, with the number of episodes it covered."""
-    evaluated = _eval(t)
+    evaluated = t.evaluated
     grid = E.history_grid(evaluated, EPISODES, DATASET)
     hits = E.targets(evaluated, DATASET)
     events = E.event_context(evaluated, t.snap, EPISODES, DATASET)
@@ -450,7 +450,7 @@ SELECT subject_id, episode_id, us, value FROM used u WHERE NOT EXISTS (
 )
 def provenance(t):
     """Targets of one horizon are altered first, so the audit has something to find."""
-    evaluated = _eval(t)
+    evaluated = t.evaluated
     altered = E.targets(evaluated, DATASET).withColumn(
         "target_glucose_mg_dl",
         F.col("target_glucose_mg_dl") + F.when(F.col("horizon_minutes") == 720, 1).otherwise(0),

@@ -1 +1,112 @@
-"""To come."""
+"""M1-M3: streaming twins, run over what is available and compared with batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driver.base import query, us
+from driver.ingest_queries import DOCS, documents
+from subjectseries.schemas import STORED
+from subjectseries.session import scratch_dir
+from subjectseries.sources.store import VersionedStore
+from subjectseries.streaming import run_available, stream_ingest, stream_rollup, stream_segments
+
+EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
+
+def _stream(t):
+    # The source takes a folder; a glob picks the one table in it.
+    raw = t.spark.readStream.schema(EVENTS).parquet(f"{t.dir}/events.parque[t]")
+    return raw.select(
+        F.col("user_id").cast("string").alias("subject_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("value").cast("decimal(10,3)").alias("value"),
+    )
+
+
+def _closed(t, result, label: str):
+    """Run to the end and read the results the watermark has closed."""
+    root = scratch_dir(t.spark, label)
+    schema = result.schema
+    run_available(result, f"{root}/out", f"{root}/checkpoint")
+    return t.spark.read.schema(schema).parquet(f"{root}/out")
+
+
+@query(
+    "m1_stream_ingest",
+    f"""WITH {DOCS} SELECT subject_id, sample_id AS id, CAST(max(cents + index) AS DOUBLE) AS value FROM recs
+WHERE entity = 'glucose_samples' AND code IS NULL GROUP BY 1, 2""",
+)
+def ingest_stream(t):
+    """Documents arrive as files; the glucose table afterwards is the batch result."""
+    root = scratch_dir(t.spark, "stream-ingest")
+    documents(t).write.parquet(f"{root}/inbox")
+    schema = "subject_id string, document_id string, body string"
+    arriving = t.spark.readStream.schema(schema).parquet(f"{root}/inbox")
+    store = VersionedStore(t.spark, f"{root}/store")
+    stream_ingest(arriving, store, f"{root}/checkpoint").awaitTermination()
+    rows = store.read("glucose_samples", STORED["glucose_samples"])
+    return rows.select(
+        "subject_id",
+        F.col("source_sample_id").alias("id"),
+        F.col("value_mg_dl").cast("double").alias("value"),
+    )
+
+
+def _rollup_sql(seconds: int) -> str:
+    width = seconds * 1_000_000
+    return f"""WITH top AS (SELECT max(us) - 3600000000 AS wm FROM ev)
+SELECT subject_id, us - us % {width} AS bucket_start, count(*) AS n, CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi,
+  CAST(sum(v) * 1000 AS BIGINT) / (count(*) * 1000) AS mean
+FROM ev, top WHERE us - us % {width} + {width} <= wm - wm % 1000 GROUP BY 1, 2"""
+
+
+def _rollup(resolution: str):
+    def run(t):
+        out = _closed(
+            t, stream_rollup(_stream(t), "ts", "value", resolution, "1 hour"), f"rollup-{resolution}"
+        )
+        return out.select(
+            "subject_id",
+            us("bucket_start"),
+            F.col("sample_count").alias("n"),
+            F.col("min_value").cast("double").alias("lo"),
+            F.col("max_value").cast("double").alias("hi"),
+            F.col("mean_value").cast("double").alias("mean"),
+        )
+
+    return run
+
+
+for _name, _seconds in (("5m", 300), ("15m", 900), ("hourly", 3600)):
+    query(f"m2_stream_rollup_{_name}", _rollup_sql(_seconds))(_rollup(_name))
+
+
+@query(
+    "m3_stream_segments",
+    """WITH f AS (SELECT subject_id, us, CASE WHEN us - lag(us) OVER w > 43200000000 THEN 1 ELSE 0 END AS b
+  FROM ev WINDOW w AS (PARTITION BY subject_id ORDER BY us)),
+g AS (SELECT *, sum(b) OVER (PARTITION BY subject_id ORDER BY us) AS seg FROM f),
+s AS (SELECT subject_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM g GROUP BY subject_id, seg),
+top AS (SELECT max(us) - 3600000000 AS wm FROM ev)
+SELECT subject_id, start_us, end_us, n, (end_us - start_us) / 6e7 AS minutes FROM s, top WHERE end_us + 43200000000 <= wm - wm % 1000""",
+)
+def segments_stream(t):
+    out = _closed(t, stream_segments(_stream(t), "ts", 720, "1 hour"), "segments")
+    return out.select(
+        "subject_id",
+        us("start_timestamp_utc", "start_us"),
+        us("end_timestamp_utc", "end_us"),
+        F.col("observation_count").alias("n"),
+        F.col("elapsed_minutes").alias("minutes"),
+    )

@@ -34,6 +34,7 @@ class BandPlan:
         self._counts: set[int] = set()
         self._copies: set[int] = set()
         self._lasts: set[int] = set()
+        self._pairs: set[int] = set()
 
     def count(self, low: int, high: int) -> Column:
         """Observations with ``low <= t - anchor <= high`` (µs), copies included."""
@@ -48,13 +49,18 @@ class BandPlan:
         return F.col(_name("d", high)) - F.col(_name("d", low - 1))
 
     def last(self, high: int) -> Column:
-        """Latest observation up to ``anchor + high``: struct of us, value, source, next_us.
+        """Latest observation up to ``anchor + high``: struct of us, value, source.
 
         Where a band ending at ``high`` holds exactly one observation, this is it.
         """
         self._lasts.add(high)
         return F.col(_name("l", high))
 
+    def neighbours(self, offset: int) -> Column:
+        """The latest instant up to ``anchor + offset`` and the one after it."""
+        self._pairs.add(offset)
+        return F.col(_name("p", offset))
+
     def apply(self, df: DataFrame) -> DataFrame:
         order = Window.partitionBy(*PARTITION).orderBy("us")
 
@@ -68,18 +74,14 @@ class BandPlan:
         for offset in sorted(self._copies):
             copies = F.sum((F.col("n") > 1).cast("bigint"))
             added[_name("d", offset)] = F.coalesce(copies.over(upto(offset)), zero)
-        entry = F.struct("us", "value", "source", "next_us")
+        entry = F.struct("us", "value", "source")
         for offset in sorted(self._lasts):
             added[_name("l", offset)] = F.last(entry).over(upto(offset))
-        return df.withColumns({"next_us": F.lead("us").over(order)}).withColumns(added)
-
-    def internal_columns(self) -> list[str]:
-        return (
-            [_name("c", o) for o in sorted(self._counts)]
-            + [_name("d", o) for o in sorted(self._copies)]
-            + [_name("l", o) for o in sorted(self._lasts)]
-            + ["next_us"]
-        )
+        if self._pairs:
+            df = df.withColumn("next_us", F.lead("us").over(order))
+        for offset in sorted(self._pairs):
+            added[_name("p", offset)] = F.last(F.struct("us", "next_us")).over(upto(offset))
+        return df.withColumns(added)
 
 
 def chunked(obs: DataFrame, width_us: int, before_us: int, after_us: int) -> DataFrame:

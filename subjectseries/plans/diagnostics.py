@@ -360,7 +360,7 @@ def readiness_by_instant(obs: DataFrame, policy: DiagnosticsPolicy) -> DataFrame
     entries = []
     for minutes, us in horizons.items():
         count = plan.count(us - tolerance, us + tolerance)
-        closest = nearest_of_neighbours(F.col("us") + F.lit(us), tolerance, plan.last(us))
+        closest = nearest_of_neighbours(F.col("us") + F.lit(us), tolerance, plan.neighbours(us))
         entries.append(
             F.struct(
                 F.lit(minutes).cast(LONG).alias("horizon_minutes"),

@@ -52,14 +52,6 @@ def target_code(kind: str, horizon: int) -> str:
     return f"{kind}_TARGET_{horizon}M"
 
 
-def _observation(entry: Column) -> Column:
-    """Keep what outputs need of a band's single observation."""
-    return F.when(
-        entry.isNotNull(),
-        F.struct(entry["us"].alias("us"), entry["value"].alias("value"), entry["source"].alias("source")),
-    )
-
-
 def evaluate_anchors(obs: DataFrame, policy: EpisodePolicy) -> DataFrame:
     """One row per distinct instant (``n`` copies) with all rule results.
 
@@ -88,7 +80,7 @@ def evaluate_anchors(obs: DataFrame, policy: EpisodePolicy) -> DataFrame:
             F.struct(
                 F.lit(minutes).cast(LONG).alias("horizon_minutes"),
                 count.alias("count"),
-                _observation(unique_in_band(count, plan.last(ideal + reach))).alias("hit"),
+                unique_in_band(count, plan.last(ideal + reach)).alias("hit"),
                 F.when(*missing).when(*ambiguous).alias("code"),
             )
         )
@@ -103,7 +95,7 @@ def evaluate_anchors(obs: DataFrame, policy: EpisodePolicy) -> DataFrame:
         slots.append(
             F.struct(
                 count.alias("count"),
-                _observation(unique_in_band(count, plan.last(high))).alias("hit"),
+                unique_in_band(count, plan.last(high)).alias("hit"),
             )
         )
 

@@ -34,97 +34,116 @@ def read_documents(spark: SparkSession, path: str, subject_id: str) -> DataFrame
 
 
 # --- typed access to variant fields --------------------------------------------
-def _field(record: Column, name: str) -> Column:
-    """The field, with JSON null and absence both as null."""
-    value = F.try_variant_get(record, f"$.{name}", "variant")
-    return F.when(~F.is_variant_null(value), value)
+# Fields are taken out in stages, each a projection of its own: variant, then its kind
+# and text, then the typed value. Later rules only read columns, so no extraction is
+# repeated and the generated code stays small.
+def parse_time(text: Column) -> Column:
+    """Instant of an ISO text under a UTC session; null when it is not one."""
+    upper = F.translate(text, "tz,", "TZ.")
+    return F.when(text.rlike(TIME_TEXT), upper.try_cast("timestamp"))
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def has_zone(text: Column) -> Column:
+    return text.rlike(ZONED_TEXT)
 
 
-def _is_text(value: Column) -> Column:
-    return _kind(value) == "STRING"
+def _kind(name: str) -> Column:
+    return F.col(f"k_{name}")
 
 
-def _text(value: Column) -> Column:
-    return F.when(_is_text(value), F.try_variant_get(value, "$", "string"))
+def _value(name: str) -> Column:
+    return F.col(f"x_{name}")
 
 
-def _is_number(value: Column) -> Column:
-    return _kind(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+def _absent(name: str) -> Column:
+    """Missing, or JSON null."""
+    return _kind(name).isNull() | (_kind(name) == "VOID")
 
 
-def parse_time(text: Column) -> Column:
-    """Instant of an ISO text under a UTC session; null when it is not one."""
-    upper = F.translate(text, "tz,", "TZ.")
-    return F.when(text.rlike(TIME_TEXT), upper.try_cast("timestamp"))
+def _is(name: str, kind: str) -> Column:
+    return F.coalesce(_kind(name).startswith(kind), F.lit(False))
 
 
-def has_zone(text: Column) -> Column:
-    return text.rlike(ZONED_TEXT)
+def _typed(name: str, kind: str) -> Column:
+    k, s = _kind(name), F.col(f"s_{name}")
+    is_text = k == "STRING"
+    is_number = k.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    if kind == "text":
+        return F.when(is_text, s)
+    if kind == "number":
+        return F.when(is_text | is_number, s).try_cast("decimal(38,18)")
+    if kind == "integer":
+        return F.when(is_text | is_number, s).try_cast("decimal(38,18)").try_cast("int")
+    if kind == "time":
+        scale = F.when(F.abs(s.try_cast("double")) > MAX_EPOCH_SECONDS, 1_000).otherwise(1_000_000)
+        micros = F.round(s.try_cast("double") * scale).cast("bigint")
+        return F.when(is_text, parse_time(s)).when(is_number, F.timestamp_micros(micros))
+    if kind == "list":
+        return F.try_variant_get(F.col(f"v_{name}"), "$", "array<variant>")
+    return F.lit(None).cast("string")
 
 
-def _instant(value: Column) -> Column:
-    number = F.when(_is_number(value), F.try_variant_get(value, "$", "double"))
-    seconds = F.when(F.abs(number) > MAX_EPOCH_SECONDS, number / 1000).otherwise(number)
-    return F.coalesce(
-        parse_time(_text(value)), F.timestamp_micros(F.round(seconds * 1_000_000).cast("bigint"))
+def with_fields(df: DataFrame, variant: str, fields: dict[str, str]) -> DataFrame:
+    """Add ``v_``, ``k_``, ``s_`` and ``x_`` columns (variant, kind, text, value) per field."""
+    taken = df.withColumns(
+        {f"v_{n}": F.try_variant_get(F.col(variant), f"$.{n}", "variant") for n in fields}
     )
-
-
-def _decimal(value: Column) -> Column:
-    as_text = F.when(
-        _is_text(value) | _is_number(value), F.try_variant_get(value, "$", "string")
+    described = taken.withColumns(
+        {
+            **{f"k_{n}": F.schema_of_variant(F.col(f"v_{n}")) for n in fields},
+            **{
+                f"s_{n}": F.try_variant_get(F.col(f"v_{n}"), "$", "string")
+                for n, kind in fields.items()
+                if kind in ("text", "number", "integer", "time")
+            },
+        }
     )
-    return as_text.try_cast("decimal(38,18)")
+    return described.withColumns({f"x_{n}": _typed(n, kind) for n, kind in fields.items()})
+
 
+def settled(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """Select through a one-element ``explode``.
 
-def _absent(record: Column, name: str) -> Column:
-    return F.try_variant_get(record, f"$.{name}", "variant").isNull()
+    A filter on the result is evaluated on the computed columns. Through a plain
+    projection the optimizer would push it down to the scan and, on the way, write the
+    whole extraction once more into its condition.
+    """
+    return df.select(F.explode(F.array(F.struct(*columns))).alias("_row")).select("_row.*")
 
 
 # --- envelope --------------------------------------------------------------------
+_HEADER = {
+    "schema_version": "integer",
+    "exported_at": "time",
+    "data_start": "time",
+    "data_end": "time",
+}
+
+
 def envelopes(documents: DataFrame) -> DataFrame:
     """Parse documents and give each a ``reject_code`` (null when acceptable)."""
-    doc = F.col("doc")
-    parsed = documents.withColumn("doc", F.try_parse_json("body")).select(
-        "subject_id",
-        "document_id",
-        "body",
-        "doc",
-        _field(doc, "schema_version").alias("_version"),
-        _instant(_field(doc, "exported_at")).alias("exported_at"),
-        _instant(_field(doc, "data_start")).alias("data_start"),
-        _instant(_field(doc, "data_end")).alias("data_end"),
-    )
-    version = F.when(
-        _is_number(F.col("_version")) | _is_text(F.col("_version")),
-        F.try_variant_get("_version", "$", "int"),
+    parsed = documents.select(
+        "subject_id", "document_id", "body", F.try_parse_json("body").alias("doc")
     )
+    fielded = with_fields(parsed, "doc", {**_HEADER, **{name: "array" for name in ENTITIES}})
     arrays_ok = reduce(
-        lambda a, b: a & b,
-        [
-            _absent(doc, name)
-            | F.coalesce(_kind(F.try_variant_get(doc, f"$.{name}", "variant")).startswith("ARRAY"), F.lit(False))
-            for name in ENTITIES
-        ],
-    )
-    whole = (
-        F.col("doc").isNotNull()
-        & version.isNotNull()
-        & F.col("exported_at").isNotNull()
-        & F.col("data_start").isNotNull()
-        & F.col("data_end").isNotNull()
-        & arrays_ok
+        lambda a, b: a & b, [_kind(name).isNull() | _is(name, "ARRAY") for name in ENTITIES]
     )
+    header_ok = reduce(lambda a, b: a & b, [_value(name).isNotNull() for name in _HEADER])
     code = (
-        F.when(~F.coalesce(whole, F.lit(False)), "INVALID_REQUEST")
-        .when(version != SCHEMA_VERSION, "UNSUPPORTED_SCHEMA_VERSION")
-        .when(F.col("data_end") <= F.col("data_start"), "INVALID_TIMESTAMP")
+        F.when(~(F.col("doc").isNotNull() & header_ok & arrays_ok), "INVALID_REQUEST")
+        .when(_value("schema_version") != SCHEMA_VERSION, "UNSUPPORTED_SCHEMA_VERSION")
+        .when(_value("data_end") <= _value("data_start"), "INVALID_TIMESTAMP")
+    )
+    return settled(
+        fielded,
+        "subject_id",
+        "document_id",
+        "body",
+        "doc",
+        *[_value(name).alias(name) for name in _HEADER],
+        code.alias("reject_code"),
     )
-    return parsed.withColumn("schema_version", version).withColumn("reject_code", code).drop("_version")
 
 
 def accepted(envelope: DataFrame) -> DataFrame:
@@ -164,202 +183,206 @@ def records(envelope: DataFrame) -> DataFrame:
 
 
 # --- per-record rules --------------------------------------------------------------
+METRICS = {
+    "distance_meters": "decimal(12,3)",
+    "active_energy_kcal": "decimal(12,3)",
+    "average_heart_rate": "decimal(10,3)",
+    "maximum_heart_rate": "decimal(10,3)",
+}
+_IDENTITY_FIELDS = {"source": "text", "source_name": "text", "source_sample_id": "text"}
+FIELDS: dict[str, dict[str, str]] = {
+    "glucose_samples": {
+        **_IDENTITY_FIELDS,
+        "sample_time": "time",
+        "value": "number",
+        "unit": "text",
+        "trend": "text",
+        "metadata": "object",
+    },
+    "workouts": {
+        **_IDENTITY_FIELDS,
+        "sport": "text",
+        "start_time": "time",
+        "end_time": "time",
+        **{name: "number" for name in METRICS},
+        "metadata": "object",
+    },
+    "sleep_sessions": {
+        **_IDENTITY_FIELDS,
+        "start_time": "time",
+        "end_time": "time",
+        "stage": "text",
+        "metadata": "object",
+    },
+    "weight_measurements": {
+        **_IDENTITY_FIELDS,
+        "measured_at": "time",
+        "value": "number",
+        "unit": "text",
+        "metadata": "object",
+    },
+    "meal_events": {
+        **_IDENTITY_FIELDS,
+        "meal_completed_at": "time",
+        "foods": "list",
+        "notes": "text",
+        "metadata": "object",
+    },
+}
+
 # A rule is (holds, code, message); the first that does not hold names the rejection.
 Rule = tuple[Column, str, str]
+BAD = "INVALID_REQUEST"
 
 
-def _required_text(r: Column, name: str) -> Rule:
-    return (F.length(_text(_field(r, name))) > 0, "INVALID_REQUEST", f"{name} must be a non-empty string")
+def _required_text(name: str) -> Rule:
+    return (F.length(_value(name)) > 0, BAD, f"{name} must be a non-empty string")
 
 
-def _optional_text(r: Column, name: str) -> Rule:
-    v = _field(r, name)
-    return (v.isNull() | _is_text(v), "INVALID_REQUEST", f"{name} must be a string")
+def _optional_text(name: str) -> Rule:
+    return (_absent(name) | _is(name, "STRING"), BAD, f"{name} must be a string")
 
 
-def _time(r: Column, name: str) -> Rule:
-    return (_instant(_field(r, name)).isNotNull(), "INVALID_REQUEST", f"{name} must be a time")
+def _time(name: str) -> Rule:
+    return (_value(name).isNotNull(), BAD, f"{name} must be a time")
 
 
-def _metadata(r: Column) -> Rule:
-    v = F.try_variant_get(r, "$.metadata", "variant")
-    return (v.isNull() | _kind(v).startswith("OBJECT"), "INVALID_REQUEST", "metadata must be an object")
+def _metadata() -> Rule:
+    holds = _kind("metadata").isNull() | _is("metadata", "OBJECT")
+    return (holds, BAD, "metadata must be an object")
 
 
-def _positive(r: Column, kind: str) -> Rule:
-    v = _decimal(_field(r, "value"))
-    return ((v > 0) & (v.try_cast(kind) > 0), "INVALID_REQUEST", "value must be a number above zero")
+def _positive(stored: str) -> Rule:
+    holds = (_value("value") > 0) & (_value("value").try_cast(stored) > 0)
+    return (holds, BAD, "value must be a number above zero")
 
 
-def _unit(r: Column, unit: str) -> list[Rule]:
-    v = _text(_field(r, "unit"))
+def _unit(unit: str) -> list[Rule]:
     return [
-        (v.isNotNull(), "INVALID_REQUEST", "unit must be a string"),
-        (v == unit, "INVALID_UNIT", f"unit must be {unit}"),
+        (_value("unit").isNotNull(), BAD, "unit must be a string"),
+        (_value("unit") == unit, "INVALID_UNIT", f"unit must be {unit}"),
     ]
 
 
-def _optional_number(r: Column, name: str, kind: str) -> Rule:
-    v = _field(r, name)
-    return (v.isNull() | _decimal(v).try_cast(kind).isNotNull(), "INVALID_REQUEST", f"{name} must be a number")
+def _optional_number(name: str, stored: str) -> Rule:
+    holds = _absent(name) | _value(name).try_cast(stored).isNotNull()
+    return (holds, BAD, f"{name} must be a number")
 
 
-def _ordered(r: Column, code: str) -> Rule:
-    return (
-        _instant(_field(r, "end_time")) > _instant(_field(r, "start_time")),
-        code,
-        "end_time must be later than start_time",
-    )
+def _ordered(code: str) -> Rule:
+    holds = _value("end_time") > _value("start_time")
+    return (holds, code, "end_time must be later than start_time")
 
 
-METRICS = {
-    "distance_meters": "decimal(12,3)",
-    "active_energy_kcal": "decimal(12,3)",
-    "average_heart_rate": "decimal(10,3)",
-    "maximum_heart_rate": "decimal(10,3)",
-}
-MEAL_FIELDS = (
-    "source",
-    "source_name",
-    "source_sample_id",
-    "meal_completed_at",
-    "foods",
-    "notes",
-    "metadata",
-)
-
-
-def _identity_rules(r: Column) -> list[Rule]:
-    return [_required_text(r, "source"), _optional_text(r, "source_name"), _required_text(r, "source_sample_id")]
-
-
-def rules(entity: str, r: Column) -> list[Rule]:
-    head = [(_kind(r).startswith("OBJECT"), "INVALID_REQUEST", "record must be a JSON object"), *_identity_rules(r)]
+def rules(entity: str) -> list[Rule]:
+    """Checks in order: structure field by field, then meaning."""
+    head: list[Rule] = [
+        (_is("record", "OBJECT"), BAD, "record must be a JSON object"),
+        _required_text("source"),
+        _optional_text("source_name"),
+        _required_text("source_sample_id"),
+    ]
     if entity == "glucose_samples":
-        return [
-            *head,
-            _time(r, "sample_time"),
-            _positive(r, "decimal(10,3)"),
-            *_unit(r, "mg/dL"),
-            _optional_text(r, "trend"),
-            _metadata(r),
+        body = [
+            _time("sample_time"),
+            _positive("decimal(10,3)"),
+            *_unit("mg/dL"),
+            _optional_text("trend"),
+            _metadata(),
         ]
-    if entity == "weight_measurements":
-        return [
-            *head,
-            _time(r, "measured_at"),
-            _positive(r, "decimal(10,6)"),
-            *_unit(r, "kg"),
-            _metadata(r),
+    elif entity == "weight_measurements":
+        body = [_time("measured_at"), _positive("decimal(10,6)"), *_unit("kg"), _metadata()]
+    elif entity == "sleep_sessions":
+        body = [
+            _time("start_time"),
+            _time("end_time"),
+            _required_text("stage"),
+            _metadata(),
+            _ordered("INVALID_TIMESTAMP"),
         ]
-    if entity == "sleep_sessions":
-        return [
-            *head,
-            _time(r, "start_time"),
-            _time(r, "end_time"),
-            _required_text(r, "stage"),
-            _metadata(r),
-            _ordered(r, "INVALID_TIMESTAMP"),
-        ]
-    if entity == "workouts":
-        return [
-            *head,
-            _required_text(r, "sport"),
-            _time(r, "start_time"),
-            _time(r, "end_time"),
-            *[_optional_number(r, name, kind) for name, kind in METRICS.items()],
-            _metadata(r),
-            (_text(_field(r, "source_name")) == "Strava", "UNSUPPORTED_WORKOUT_SOURCE", "source_name must be Strava"),
-            (_text(_field(r, "sport")) == "running", "INVALID_WORKOUT", "sport must be running"),
-            _ordered(r, "INVALID_WORKOUT"),
+    elif entity == "workouts":
+        strava = F.coalesce(_value("source_name") == "Strava", F.lit(False))
+        body = [
+            _required_text("sport"),
+            _time("start_time"),
+            _time("end_time"),
+            *[_optional_number(name, kind) for name, kind in METRICS.items()],
+            _metadata(),
+            (strava, "UNSUPPORTED_WORKOUT_SOURCE", "source_name must be Strava"),
+            (_value("sport") == "running", "INVALID_WORKOUT", "sport must be running"),
+            _ordered("INVALID_WORKOUT"),
             *[
                 (
-                    _field(r, name).isNull() | (_decimal(_field(r, name)) >= 0),
+                    _absent(name) | (_value(name) >= 0),
                     "INVALID_WORKOUT",
                     f"{name} must not be negative",
                 )
                 for name in METRICS
             ],
         ]
-    if entity == "meal_events":
-        foods = _field(r, "foods")
-        items = F.try_variant_get(foods, "$", "array<variant>")
-        all_text = F.forall(items, lambda item: ~F.is_variant_null(item) & _is_text(item))
-        keys = F.map_keys(F.try_variant_get(r, "$", "map<string,variant>"))
-        return [
-            *head,
-            _time(r, "meal_completed_at"),
-            (foods.isNull() | (items.isNotNull() & all_text), "INVALID_REQUEST", "foods must be a list of strings"),
-            _optional_text(r, "notes"),
-            _metadata(r),
-            (
-                F.size(F.array_except(keys, F.array(*[F.lit(k) for k in MEAL_FIELDS]))) == 0,
-                "INVALID_REQUEST",
-                "unexpected field",
-            ),
+    elif entity == "meal_events":
+        texts = F.forall(_value("foods"), lambda item: F.schema_of_variant(item) == "STRING")
+        allowed = F.array(*[F.lit(name) for name in FIELDS["meal_events"]])
+        body = [
+            _time("meal_completed_at"),
+            (_absent("foods") | texts, BAD, "foods must be a list of strings"),
+            _optional_text("notes"),
+            _metadata(),
+            (F.size(F.array_except("keys", allowed)) == 0, BAD, "unexpected field"),
         ]
-    raise ValueError(f"unknown entity {entity!r}")
+    else:
+        raise ValueError(f"unknown entity {entity!r}")
+    return [*head, *body]
 
 
-def _rejection(entity: str, r: Column) -> Column:
+def _rejection(entity: str) -> Column:
     chain = None
-    for holds, code, message in rules(entity, r):
+    for holds, code, message in rules(entity):
         failed = ~F.coalesce(holds, F.lit(False))
         reason = F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))
         chain = F.when(failed, reason) if chain is None else chain.when(failed, reason)
     return chain
 
 
-def typed_columns(entity: str, r: Column) -> list[Column]:
-    metadata = F.coalesce(F.to_json(_field(r, "metadata")), F.lit("{}")).alias("metadata")
-    head = [
-        _text(_field(r, name)).alias(name) for name in ("source", "source_sample_id", "source_name")
-    ]
-    value = _decimal(_field(r, "value"))
-    body = {
-        "glucose_samples": lambda: [
-            _instant(_field(r, "sample_time")).alias("sample_time"),
-            value.try_cast("decimal(10,3)").alias("value_mg_dl"),
-            _text(_field(r, "trend")).alias("trend"),
-        ],
-        "weight_measurements": lambda: [
-            _instant(_field(r, "measured_at")).alias("measured_at"),
-            value.try_cast("decimal(10,6)").alias("value_kg"),
-        ],
-        "sleep_sessions": lambda: [
-            _instant(_field(r, "start_time")).alias("start_time"),
-            _instant(_field(r, "end_time")).alias("end_time"),
-            _text(_field(r, "stage")).alias("stage"),
-        ],
-        "workouts": lambda: [
-            _text(_field(r, "sport")).alias("sport"),
-            _instant(_field(r, "start_time")).alias("start_time"),
-            _instant(_field(r, "end_time")).alias("end_time"),
-            *[_decimal(_field(r, n)).try_cast(k).alias(n) for n, k in METRICS.items()],
-        ],
-        "meal_events": lambda: [
-            _instant(_field(r, "meal_completed_at")).alias("meal_completed_at"),
-            F.coalesce(
-                F.try_variant_get(_field(r, "foods"), "$", "array<string>"),
-                F.array().cast("array<string>"),
-            ).alias("foods"),
-            _text(_field(r, "notes")).alias("notes"),
-        ],
-    }[entity]()
-    return [*head, *body, metadata]
+def _stored_columns(entity: str) -> list[Column]:
+    """Values at storage scale, under their stored names."""
+    out: list[Column] = []
+    for name, kind in FIELDS[entity].items():
+        if name == "value":
+            stored = {"glucose_samples": ("value_mg_dl", "decimal(10,3)")}.get(
+                entity, ("value_kg", "decimal(10,6)")
+            )
+            out.append(_value("value").try_cast(stored[1]).alias(stored[0]))
+        elif name in METRICS:
+            out.append(_value(name).try_cast(METRICS[name]).alias(name))
+        elif name == "metadata":
+            out.append(F.coalesce(F.to_json("v_metadata"), F.lit("{}")).alias("metadata"))
+        elif kind == "list":
+            texts = F.try_variant_get(F.col(f"v_{name}"), "$", "array<string>")
+            out.append(F.coalesce(texts, F.array().cast("array<string>")).alias(name))
+        elif name != "unit":
+            out.append(_value(name).alias(name))
+    return out
 
 
 def validated(all_records: DataFrame, entity: str) -> DataFrame:
     """Typed records of one entity with ``rejection`` (null, or code and message)."""
-    r = F.col("record")
-    raw_id = F.try_variant_get(r, "$.source_sample_id", "string").alias("raw_sample_id")
-    return all_records.filter(F.col("entity") == entity).select(
+    rows = all_records.filter(F.col("entity") == entity).withColumn(
+        "k_record", F.schema_of_variant("record")
+    )
+    if entity == "meal_events":
+        rows = rows.withColumn(
+            "keys", F.map_keys(F.try_variant_get("record", "$", "map<string,variant>"))
+        )
+    fielded = with_fields(rows, "record", FIELDS[entity])
+    return settled(
+        fielded,
         "subject_id",
         "document_id",
         "index",
-        raw_id,
-        _rejection(entity, r).alias("rejection"),
-        *typed_columns(entity, r),
+        F.col("s_source_sample_id").alias("raw_sample_id"),
+        _rejection(entity).alias("rejection"),
+        *_stored_columns(entity),
     )
 
 
