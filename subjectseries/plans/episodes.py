@@ -25,6 +25,7 @@ from subjectseries.functions.scalars import (
 )
 from subjectseries.operators import ranges
 from subjectseries.operators.aggregates import code_counts
+from subjectseries.operators.barrier import settled
 from subjectseries.operators.bands import (
     BandPlan,
     chunked,
@@ -116,21 +117,18 @@ def evaluate_anchors(obs: DataFrame, policy: EpisodePolicy) -> DataFrame:
     )
     width = halo_width(before, after)
     rows = largest_gap(with_block_maxima(chunked(obs, width, before, after), history), history)
-    return (
-        plan.apply(rows)
-        .filter("owned")
-        .select(
-            "subject_id",
-            "us",
-            "n",
-            start_count.alias("start_count"),
-            start_seen["us"].alias("start_us"),
-            history_count.alias("history_count"),
-            gap.alias("max_gap_us"),
-            F.array(*targets).alias("targets"),
-            F.array(*slots).alias("slots"),
-            codes.alias("codes"),
-        )
+    return settled(
+        plan.apply(rows).filter("owned"),
+        "subject_id",
+        "us",
+        "n",
+        start_count.alias("start_count"),
+        start_seen["us"].alias("start_us"),
+        history_count.alias("history_count"),
+        gap.alias("max_gap_us"),
+        F.array(*targets).alias("targets"),
+        F.array(*slots).alias("slots"),
+        codes.alias("codes"),
     )
 
 

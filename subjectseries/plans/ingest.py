@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from subjectseries.operators.upsert import classify, keep_last, next_version, upsert_sources
 from subjectseries.schemas import ENTITIES, IDENTITY, MEANINGFUL, SOURCES, STORED
-from subjectseries.session import materialize
+from subjectseries.session import materialize, scratch_dir
 from subjectseries.sources import export
 from subjectseries.sources.store import VersionedStore
 
@@ -119,8 +119,13 @@ def audit_rows(envelope: DataFrame, counts: DataFrame, rejected: DataFrame) -> D
 
 
 def validate_all(envelope: DataFrame, entities: Iterable[str] = ENTITIES) -> dict[str, DataFrame]:
+    """Validated records per entity. Documents are parsed once: the exploded records are
+    written to scratch and each entity reads its own partition."""
+    path = scratch_dir(envelope.sparkSession, "records")
     all_records = export.records(envelope)
-    return {entity: export.validated(all_records, entity) for entity in entities}
+    all_records.write.partitionBy("entity").parquet(path)
+    stored = envelope.sparkSession.read.schema(all_records.schema).parquet(path)
+    return {entity: export.validated(stored, entity) for entity in entities}
 
 
 def ingest(

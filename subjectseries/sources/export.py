@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subjectseries.functions.scalars import canonical_json
+from subjectseries.operators.barrier import settled
 from subjectseries.schemas import ENTITIES
 
 SCHEMA_VERSION = 1
@@ -101,16 +102,6 @@ def with_fields(df: DataFrame, variant: str, fields: dict[str, str]) -> DataFram
     return described.withColumns({f"x_{n}": _typed(n, kind) for n, kind in fields.items()})
 
 
-def settled(df: DataFrame, *columns: Column | str) -> DataFrame:
-    """Select through a one-element ``explode``.
-
-    A filter on the result is evaluated on the computed columns. Through a plain
-    projection the optimizer would push it down to the scan and, on the way, write the
-    whole extraction once more into its condition.
-    """
-    return df.select(F.explode(F.array(F.struct(*columns))).alias("_row")).select("_row.*")
-
-
 # --- envelope --------------------------------------------------------------------
 _HEADER = {
     "schema_version": "integer",
