@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import T0, glucose, minutes, regular
 from subjectseries.plans import diagnostics as D
 from subjectseries.plans import episodes as E
+from subjectseries.session import materialize
 from subjectseries.plans.policies import DiagnosticsPolicy, EpisodePolicy, PolicyError
 
 ANCHOR = T0 + minutes(120)
@@ -89,7 +90,7 @@ def test_context_keeps_past_only(spark):
         ),
         "sleep": spark.createDataFrame([("s", "future", ANCHOR, ANCHOR + minutes(5), "z")], spans.format(i="sleep_id")),
     }
-    evaluated = evaluate(spark, regular())
+    evaluated = materialize(evaluate(spark, regular()), "evaluated")
     events = E.event_context(evaluated, tables, POLICY, "d")
     got = {r.event_id: r.overlap_duration_seconds for r in events.collect()}
     assert got == {"in": None, "edge": None, "over": 600.0}
