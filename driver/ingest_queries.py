@@ -127,7 +127,11 @@ def documents(t):
         F.date_format(later(20_000), iso).alias("t_end"),
         F.date_format(later(1_000), iso).alias("t_data"),
     )
-    return rows.select("subject_id", F.col("id").alias("document_id"), F.expr(document(False)).alias("body"))
+    # The events are one small file, the documents are not: build and parse them in parallel.
+    spread = rows.repartition(t.spark.sparkContext.defaultParallelism, "id")
+    return spread.select(
+        "subject_id", F.col("id").alias("document_id"), F.expr(document(False)).alias("body")
+    )
 
 
 DOCS = """docs AS (SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS t,

@@ -97,3 +97,24 @@ def test_timeline_span_is_elapsed(spark):
     tables = Q.SubjectTables(*[None] * 5)
     with pytest.raises(RequestError):
         Q.personal_timeline(tables, T0, T0 + timedelta(hours=72, seconds=1))
+
+
+def test_time_filter_and_columns_reach_the_scan(spark, bucket_rows, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    path = str(tmp_path / "glucose")
+    bucket_rows.write.parquet(path)
+    stored = spark.read.schema(bucket_rows.schema).parquet(path)
+    plan = Q.glucose_series(stored, DAY0, DAY1, "15m")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(sample_time" in pushed and "LessThan(sample_time" in pushed
+    assert "IsNull(deleted_at)" in pushed
+    read = plan.split("ReadSchema: ")[1].split(chr(10))[0]
+    assert "source_sample_id" not in read
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_page_ranks_before_the_shuffle(spark, bucket_rows):
+    from subjectseries.operators.paging import page
+
+    plan = page(bucket_rows, "sample_time", "source_sample_id", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
