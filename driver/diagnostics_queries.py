@@ -135,12 +135,14 @@ def sampling_summary(t):
 @query(
     "d5_interval_distribution",
     f"""WITH {DOUBLED}, {GAPS_SQL.format(source='dbl')}
-SELECT subject_id, count(*) AS count, min(gap) / 6e7 AS min, round(quantile_cont(CAST(gap AS DOUBLE), 0.5) / 6e7, 6) AS p50,
-  round(quantile_cont(CAST(gap AS DOUBLE), 0.9) / 6e7, 6) AS p90, round(quantile_cont(CAST(gap AS DOUBLE), 0.95) / 6e7, 6) AS p95,
+SELECT subject_id, count(*) AS count, min(gap) / 6e7 AS min, round(quantile_cont(CAST(gap AS DOUBLE), 0.5) / 6e7, 3) AS p50,
+  round(quantile_cont(CAST(gap AS DOUBLE), 0.9) / 6e7, 3) AS p90, round(quantile_cont(CAST(gap AS DOUBLE), 0.95) / 6e7, 3) AS p95,
   max(gap) / 6e7 AS max FROM gaps GROUP BY 1""",
 )
 def interval_distribution(t):
-    return _rounded(D.interval_distribution(t.doubled), "p50", "p90", "p95")
+    # Three places: at six, microsecond data often lies exactly between two results.
+    out = D.interval_distribution(t.doubled)
+    return out.withColumns({n: F.round(n, 3) for n in ("p50", "p90", "p95")})
 
 
 @query(
@@ -259,12 +261,12 @@ def readiness_summary(t):
 @query(
     "d9_readiness_offsets",
     f"""WITH {_readiness_sql()}, o AS (SELECT horizon_minutes, CAST(nearest - ideal AS DOUBLE) AS d FROM readiness WHERE candidates > 0)
-SELECT horizon_minutes, count(*) AS count, min(d) / 1e6 AS min, round(quantile_cont(d, 0.5) / 1e6, 5) AS p50,
-  round(quantile_cont(d, 0.9) / 1e6, 5) AS p90, round(quantile_cont(d, 0.95) / 1e6, 5) AS p95, max(d) / 1e6 AS max FROM o GROUP BY 1""",
+SELECT horizon_minutes, count(*) AS count, min(d) / 1e6 AS min, round(quantile_cont(d, 0.5) / 1e6, 8) AS p50,
+  round(quantile_cont(d, 0.9) / 1e6, 8) AS p90, round(quantile_cont(d, 0.95) / 1e6, 8) AS p95, max(d) / 1e6 AS max FROM o GROUP BY 1""",
 )
 def readiness_offsets(t):
     out = D.readiness_offsets(D.readiness_by_instant(t.obs, DIAGNOSTICS), ())
-    return out.withColumns({n: F.round(n, 5) for n in ("p50", "p90", "p95")})
+    return out.withColumns({n: F.round(n, 8) for n in ("p50", "p90", "p95")})
 
 
 SEGMENTS = f"""s0 AS (SELECT subject_id, us, CASE WHEN us - lag(us) OVER w > {MAJOR} THEN 1 ELSE 0 END AS b

@@ -361,12 +361,12 @@ def history_quality(t):
 @query(
     "e14_target_quality",
     f"""WITH {BASE}, m AS (SELECT horizon_minutes, CAST(hit - ideal AS DOUBLE) AS v FROM ({_OK_TARGETS}))
-SELECT horizon_minutes, count(*) AS count, min(v) / 1e6 AS min, round(quantile_cont(v, 0.5) / 1e6, 5) AS p50,
-  round(quantile_cont(v, 0.9) / 1e6, 5) AS p90, round(quantile_cont(v, 0.95) / 1e6, 5) AS p95, max(v) / 1e6 AS max FROM m GROUP BY 1""",
+SELECT horizon_minutes, count(*) AS count, min(v) / 1e6 AS min, round(quantile_cont(v, 0.5) / 1e6, 8) AS p50,
+  round(quantile_cont(v, 0.9) / 1e6, 8) AS p90, round(quantile_cont(v, 0.95) / 1e6, 8) AS p95, max(v) / 1e6 AS max FROM m GROUP BY 1""",
 )
 def target_quality(t):
     out = E.target_quality(E.targets(t.evaluated, DATASET))
-    return out.withColumns({c: F.round(c, 5) for c in ("p50", "p90", "p95")})
+    return out.withColumns({c: F.round(c, 8) for c in ("p50", "p90", "p95")})
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driver.base import DIAGNOSTICS, END, SQL_END, SQL_START, START, ZONE, query, us
@@ -604,20 +603,13 @@ def typed_union(t):
     return meals.unionByName(sleep, allowMissingColumns=True)
 
 
-@query(
-    "t5_canonical_order",
-    """SELECT subject_id, us, id, row_number() OVER (PARTITION BY subject_id ORDER BY us, value) AS position FROM glucose""",
-)
+@query("t5_canonical_order", "SELECT subject_id, us, value, id FROM glucose ORDER BY subject_id, us, value")
 def canonical_sort(t):
-    from subjectseries.sources.snapshot import sort_key
+    from subjectseries.sources.snapshot import canonical_order
 
-    rows = t.snap["glucose"].withColumn("key", sort_key("glucose"))
-    order = Window.partitionBy("subject_id").orderBy("key")
-    return rows.select(
+    return canonical_order(t.snap["glucose"], "glucose").select(
         "subject_id",
         us("timestamp", "us"),
+        F.col("glucose_mg_dl").alias("value"),
         F.col("seq").cast("string").alias("id"),
-        F.row_number().over(order).cast("bigint").alias("position"),
     )
-
-

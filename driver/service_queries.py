@@ -330,21 +330,10 @@ def projection(t):
     )
 
 
-@query(
-    "t1_list_order",
-    "SELECT subject_id, id, us, row_number() OVER (PARTITION BY subject_id ORDER BY us, id) AS position FROM meals",
-)
+@query("t1_list_order", "SELECT subject_id, id, us FROM meals ORDER BY us, id")
 def list_order(t):
-    from pyspark.sql import Window
-
     items = paging.list_order(Q.meal_items(t.stored.meals), "meal_completed_at", "id")
-    order = Window.partitionBy("subject_id").orderBy("meal_completed_at", "id")
-    return items.select(
-        "subject_id",
-        "id",
-        us("meal_completed_at", "us"),
-        F.row_number().over(order).cast("bigint").alias("position"),
-    )
+    return items.select("subject_id", "id", us("meal_completed_at", "us"))
 
 
 @query(

@@ -138,3 +138,15 @@ def test_streams_drop_late_rows(spark):
     run_available(seg, f"{root}/seg", f"{root}/segcp")
     got = sorted(r.observation_count for r in spark.read.schema(seg.schema).parquet(f"{root}/seg").collect())
     assert got[-1] >= 3
+
+
+def test_lists_and_snapshots_come_out_in_order(spark):
+    from subjectseries.operators.paging import list_order
+
+    rows = [("s", f"i{i}", T0 + minutes((i * 7) % 20), float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "subject_id string, id string, timestamp timestamp, glucose_mg_dl double")
+    listed = [(r.timestamp, r.id) for r in list_order(df, "timestamp", "id").collect()]
+    assert listed == sorted(listed)
+    stored = S.canonical_order(df, "glucose").collect()
+    keys = [(r.subject_id, r.timestamp, r.glucose_mg_dl) for r in stored]
+    assert keys == sorted(keys)
