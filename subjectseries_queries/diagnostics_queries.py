@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver.base import DIAGNOSTICS, END, SQL_END, SQL_START, START, ZONE, query, us
+from subjectseries_queries.base import DIAGNOSTICS, END, SQL_END, SQL_START, START, ZONE, query, us
 from subjectseries.plans import diagnostics as D
 
 MINUTE = 60_000_000

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver.base import DATASET, DIAGNOSTICS, EPISODES, query, us
-from driver.diagnostics_queries import DOUBLED, _readiness_sql
+from subjectseries_queries.base import DATASET, DIAGNOSTICS, EPISODES, query, us
+from subjectseries_queries.diagnostics_queries import DOUBLED, _readiness_sql
 from subjectseries.operators.paging import top_codes
 from subjectseries.plans import diagnostics as D
 from subjectseries.plans import episodes as E

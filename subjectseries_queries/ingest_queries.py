@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver.base import ZONE, query, us
+from subjectseries_queries.base import ZONE, query, us
 from subjectseries.functions.scalars import local_date
 from subjectseries.operators import upsert
 from subjectseries.plans import ingest as I

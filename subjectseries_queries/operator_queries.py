@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from driver.base import DIAGNOSTICS, END, SQL_END, SQL_START, START, ZONE, query, us
+from subjectseries_queries.base import DIAGNOSTICS, END, SQL_END, SQL_START, START, ZONE, query, us
 from subjectseries.functions import predicates as P
 from subjectseries.functions import scalars as X
 from subjectseries.operators import aggregates, gaps, ranges

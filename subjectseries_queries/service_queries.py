@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
-from driver.base import END, START, ZONE, query, us
+from subjectseries_queries.base import END, START, ZONE, query, us
 from subjectseries.operators import aggregates, paging
 from subjectseries.plans import queries as Q
 

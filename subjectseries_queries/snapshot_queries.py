@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driver.base import DIAGNOSTICS, END, EPISODES, START, query, us
-from driver.episode_queries import _EVENT_SQL, evaluation_sql
+from subjectseries_queries.base import DIAGNOSTICS, END, EPISODES, START, query, us
+from subjectseries_queries.episode_queries import _EVENT_SQL, evaluation_sql
 from subjectseries.plans import datasets
 from subjectseries.schemas import ID_COLUMNS, POINT_TABLES
 from subjectseries.session import scratch_dir

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driver.base import query, us
-from driver.ingest_queries import DOCS, documents
+from subjectseries_queries.base import query, us
+from subjectseries_queries.ingest_queries import DOCS, documents
 from subjectseries.schemas import STORED
 from subjectseries.session import scratch_dir
 from subjectseries.sources.store import VersionedStore
