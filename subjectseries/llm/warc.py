@@ -227,6 +227,8 @@ def _split_payloads(spark: SparkSession, path: str, nodes: DataFrame, broken: Da
         .join(spans, "file")
         .where("at >= start and at < next")
     )
+    # Written first, so its size is known: the payloads stay where they are if it is small.
+    members = materialize(members, "warc-members")
     parts = members.join(chunks(spark, path).select("chunk", "value"), "chunk")
     joined = parts.groupBy("file", "start", "head_bytes", "content").agg(
         F.array_join(
