@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjectseries.llm import chat, language, packing, toxicity, warc
+from subjectseries.llm import chat, language, ngram_join, packing, toxicity, warc
 from subjectseries.llm.common import table
 from subjectseries.session import scratch_dir
 
@@ -30,6 +30,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = ngram_join.link_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
 _ESCAPED = "replace(text, '\\', '\\\\')"
 for _control in chat.INSTRUCT.controls:
     _ESCAPED = f"replace({_ESCAPED}, '{_control}', '{_control[0]}\\{_control[1:]}')"
