@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjectseries.llm import chat, language, ngram_join, packing, toxicity, warc
+from subjectseries.llm import chat, language, ngram_join, packing, pii, toxicity, warc
 from subjectseries.llm.common import table
 from subjectseries.session import scratch_dir
 
@@ -106,3 +106,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, counted=True)
