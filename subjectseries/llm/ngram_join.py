@@ -8,8 +8,11 @@ groups are filtered by size and position, and members are verified on their whol
 
 Only the classes are wanted, so not all pairs of a group of copies are made. In star rounds,
 each group is tried against one leader per shared shingle, and members against the first of
-their group. What stays apart is then joined in full, but only across classes: a pair is left
-untried only if its texts are in one class already. No link between classes is lost.
+their group. What these leave apart is then joined in full, but only across classes: a pair is
+left untried only if its texts are in one class already. Candidates pass a filter that cannot
+reject a similar pair: the parity bits of two sets bound how much they share. The sets of those
+that pass are read again and verified; if a candidate that had counted as a link falls, the
+pairs that it had hidden are tried too. No link between classes is lost.
 
 Hot shingles are dealt over salted lists whose leaders are tried against each other.
 
@@ -24,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +43,6 @@ PERCENT = 80
 BUCKET_BITS = 18
 #: A list of more rows than this is dealt over several.
 LONG_LIST = 20_000
-STAR_ROUNDS = 4
 #: Bits of the filter that says which documents' sets are needed; false hits only cost time.
 FILTER_BITS = 26
 
@@ -67,6 +70,36 @@ def _group(found: np.ndarray, prefix: np.ndarray) -> int:
     return int(mix(np.array([total])).view(np.int64)[0])
 
 
+def _parity(found: np.ndarray) -> bytes:
+    """A bit for each of at least two buckets a shingle: whether it holds an odd number of them."""
+    bits = max(6, int(2 * len(found)).bit_length())
+    at = (mix(found.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=1 << bits) & 1).tobytes()
+
+
+def most_common(n: int, m: int, x: bytes, y: bytes) -> int:
+    """No fewer than two sets of sizes n and m share, by their parity bits.
+
+    Each bit in which they differ stands for at least one shingle that only one of them has. The
+    finer bits are folded to the coarser ones' number: a pair's parity is the sum of its halves'.
+    """
+    if len(x) != len(y):
+        if len(x) > len(y):
+            x, y = y, x
+        bits = np.unpackbits(np.frombuffer(y, np.uint8))
+        y = np.packbits(bits.reshape(8 * len(x), -1).sum(1) & 1).tobytes()
+    apart = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+    return (n + m - apart) // 2
+
+
+@F.pandas_udf("boolean")
+def may_link(n: pd.Series, x: pd.Series, m: pd.Series, y: pd.Series) -> pd.Series:
+    rows = zip(n.tolist(), m.tolist(), x, y)
+    return pd.Series(
+        [(100 + PERCENT) * most_common(a, b, p, q) >= PERCENT * (a + b) for a, b, p, q in rows], dtype=bool
+    )
+
+
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
@@ -102,11 +135,17 @@ def _members(counts):
             rows = []
             for found in shingle_sets([t or "" for t in batch.column(1).to_pylist()]):
                 group = _group(found, _prefix(found, counts.value)[0]) if len(found) else 0
-                rows.append((len(found), _node(found), group))
-            n, node, group = zip(*rows)
+                rows.append((len(found), _node(found), group, _parity(found)))
+            n, node, group, parity = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node), pa.array(group)],
-                names=["doc_id", "n", "node", "gid"],
+                [
+                    batch.column(0),
+                    pa.array(n, pa.int64()),
+                    pa.array(node, pa.int64()),
+                    pa.array(group, pa.int64()),
+                    pa.array(parity, pa.binary()),
+                ],
+                names=["doc_id", "n", "node", "gid", "parity"],
             )
 
     return run
@@ -200,7 +239,7 @@ def _filter_slots(ids: np.ndarray) -> list[np.ndarray]:
 def _sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             hit = np.ones(len(ids), bool)
             for at in _filter_slots(ids):
                 hit &= (wanted.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
@@ -211,11 +250,10 @@ def _sets(wanted):
                 part = sets[k : k + 100]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[where[k : k + 100]]),
                         pa.array([_node(s) for s in part], pa.int64()),
                         pa.array(part, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "node", "items"],
+                    names=["node", "items"],
                 )
 
     return run
@@ -236,26 +274,39 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b) that their parity bits allow."""
+
+    def side(name: str, n: str, bits: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), F.col("n").alias(n), F.col("parity").alias(bits))
+
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    return both.where(may_link("n", "x", "m", "y")).select("a", "b")
+
+
 def _star(postings: DataFrame, turn: int) -> DataFrame:
-    """(gid, leader) of groups in different classes that share a shingle and fit; a leader a list.
+    """(gid, leader) of groups that share a shingle and fit; every list has one leader.
 
     The leader of a list is its smallest group in the first turn, later one chosen by hash.
     """
-    rank = F.struct("n", "gid", "pos") if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)), "gid", "n", "pos")
+    rank = F.struct("n", "gid", "pos")
+    if turn:
+        rank = F.struct(F.xxhash64("gid", F.lit(turn)).alias("draw"), "gid", "n", "pos")
     lists = Window.partitionBy("token", "salt")
-    led = postings.withColumn("lead", F.min(rank).over(lists))
-    pairs = led.select(
-        "token", "gid", "n", "pos", "comp", F.col("lead.gid").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("j"), "spread"
+    pairs = postings.withColumn("lead", F.min(rank).over(lists)).select(
+        "token", "gid", "n", "pos", "spread", F.col("lead.gid").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("j")
     )
     fits = _fits(F.col("n"), F.col("pos"), F.col("m"), F.col("j")) & (F.col("gid") != F.col("leader"))
     near = pairs.where(fits).select("gid", "leader")
-    whole = Window.partitionBy("token")
-    heads = pairs.where("spread and gid = leader").select("token", "gid", "n", "pos")
-    heads = heads.withColumn("lead", F.min(F.struct("n", "gid", "pos")).over(whole))
+    heads = (
+        pairs.where("spread and gid = leader")
+        .select("token", "gid", "n", "pos")
+        .withColumn("lead", F.min(F.struct("n", "gid", "pos")).over(Window.partitionBy("token")))
+    )
     far = heads.where(
         _fits(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")) & (F.col("gid") != F.col("lead.gid"))
     ).select("gid", F.col("lead.gid").alias("leader"))
-    return near.unionByName(far).distinct()
+    return near.unionByName(far)
 
 
 def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
@@ -268,14 +319,22 @@ def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(bucket_counts(docs))
     members = materialize(
-        docs.mapInArrow(_members(counts), "doc_id long, n long, node long, gid long"), "join-members"
+        docs.mapInArrow(_members(counts), "doc_id long, n long, node long, gid long, parity binary"),
+        "join-members",
     )
     nodes = materialize(
-        members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("gid").alias("gid")),
+        members.where("n > 0")
+        .groupBy("node")
+        .agg(
+            F.min("doc_id").alias("first"),
+            F.first("n").alias("n"),
+            F.first("gid").alias("gid"),
+            F.first("parity").alias("parity"),
+        ),
         "join-nodes",
     )
     lists = Window.partitionBy("token", "salt")
-    postings = (
+    postings = materialize(
         docs.select("text")
         .mapInArrow(_postings(counts, long_list), "token long, salt int, gid long, n int, pos int")
         .withColumn("least", F.min("gid").over(lists))
@@ -283,85 +342,73 @@ def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
         .withColumn("spread", F.max("salt").over(lists) > 0)
         .where("least < most or spread")
         .drop("least", "most")
-        .distinct()
-    )
-    postings = materialize(postings, "join-postings")
-
-    own = Window.partitionBy("gid")
-    grouped = nodes.withColumn("head", F.min("node").over(own))
-    shared = materialize(
-        grouped.where("node <> head").select("gid").unionByName(postings.select("gid")).distinct(), "join-shared"
-    )
-    tried = nodes.join(shared, "gid", "left_semi")
-    wanted = spark.sparkContext.broadcast(_filter_bits(tried.where("first is not null").select("first")))
-    sets = materialize(
-        docs.where("doc_id is not null")
-        .mapInArrow(_sets(wanted), "doc_id long, node long, items array<long>")
-        .join(tried.select(F.col("first").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi")
-        .dropDuplicates(["node"])
-        .drop("doc_id"),
-        "join-sets",
+        .dropDuplicates(["token", "salt", "gid"]),
+        "join-postings",
     )
 
     heads = nodes.groupBy("gid").agg(F.min("node").alias("head"))
-    links = materialize(
-        verified(grouped.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), sets),
-        "join-links",
+    inside = nodes.join(heads, "gid").where("node <> head")
+    stars = (
+        _star(postings, 0)
+        .unionByName(_star(postings, 1))
+        .distinct()
+        .join(heads.select("gid", F.col("head").alias("a")), "gid")
+        .join(heads.select(F.col("gid").alias("leader"), F.col("head").alias("b")), "leader")
+        .select("a", "b")
+        .unionByName(inside.select(F.col("node").alias("a"), F.col("head").alias("b")))
+        .distinct()
     )
-    classes = components(links)
-    for turn in range(STAR_ROUNDS):
-        apart = _apart(postings, nodes, classes)
-        pairs = (
-            _star(apart, turn)
-            .join(heads.select("gid", F.col("head").alias("a")), "gid")
-            .join(heads.select(F.col("gid").alias("leader"), F.col("head").alias("b")), "leader")
-            .select("a", "b")
+    open_pairs = materialize(_plausible(stars, nodes), "join-candidates")
+    proven = open_pairs.limit(0)
+    while True:
+        # Candidates count as links first, so that what they connect need not be tried in full.
+        classes = components(proven.unionByName(open_pairs))
+        rest = materialize(_plausible(_rest(postings, nodes, classes), nodes), "join-candidates")
+        tried = open_pairs.unionByName(rest).distinct()
+        found = materialize(verified(tried, _sets_of(docs, nodes, tried)), "join-links")
+        proven = proven.unionByName(found)
+        fallen = open_pairs.join(found, ["a", "b"], "left_anti")
+        if fallen.isEmpty():
+            break
+        classes = components(proven)
+        open_pairs = materialize(
+            _plausible(_rest(postings, nodes, classes), nodes).join(tried, ["a", "b"], "left_anti"),
+            "join-candidates",
         )
-        found = materialize(verified(_across(pairs, classes), sets), "join-links")
-        if found.isEmpty():
+        if open_pairs.isEmpty():
             break
-        links = links.unionByName(found)
-        classes = components(links)
-    found = materialize(verified(_rest(postings, nodes, classes), sets), "join-links")
-    classes = components(links.unionByName(found))
+    classes = components(proven)
 
-    linked = nodes.join(classes, "node")
+    linked = nodes.select("node", "first").join(classes, "node")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     named = linked.join(least, "component").select("node", "component_id")
-    smallest = nodes.join(classes, "node", "left_anti").select("node", F.col("first").alias("component_id"))
-    return members.join(named.unionByName(smallest), "node", "left").select(
+    return members.join(named, "node", "left").join(
+        nodes.select("node", "first"), "node", "left"
+    ).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.when(F.col("n") > 0, F.coalesce("component_id", "first")).otherwise(F.col("doc_id")).alias("component_id"),
         "node",
     )
 
 
+def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, items): the shingle sets of the nodes in ``pairs``, from one text of each."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(nodes.select("node", F.col("first").alias("doc_id")).join(ends, "node", "left_semi"), "join-wanted")
+    marks = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted.select(F.coalesce("doc_id", F.lit(0)))))
+    made = docs.mapInArrow(_sets(marks), "node long, items array<long>")
+    return materialize(
+        made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "join-sets"
+    )
+
+
 def _classed(frame: DataFrame, classes: DataFrame, node: str = "node", out: str = "comp") -> DataFrame:
     """``frame`` with the class of a node; a node without links is a class of its own."""
     names = classes.select(F.col("node").alias(node), F.col("component").alias(out))
     return frame.join(names, node, "left").withColumn(out, F.coalesce(out, node))
 
 
-def _apart(postings: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Postings of lists that still hold several classes; a group counts by its smallest node."""
-    heads = nodes.groupBy("gid").agg(F.min("node").alias("node"))
-    lists = Window.partitionBy("token", "salt")
-    comp = _classed(heads, classes).select("gid", "comp")
-    return (
-        postings.join(comp, "gid")
-        .withColumn("least", F.min("comp").over(lists))
-        .withColumn("most", F.max("comp").over(lists))
-        .where("least < most or spread")
-        .drop("least", "most")
-    )
-
-
-def _across(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    both = _classed(_classed(pairs, classes, "a", "ca"), classes, "b", "cb")
-    return both.where("ca <> cb").select("a", "b").distinct()
-
-
 def _rest(postings: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """All candidate pairs of nodes in different classes."""
     labelled = materialize(_classed(nodes, classes).select("gid", "node", "comp"), "join-classed")

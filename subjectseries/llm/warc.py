@@ -59,6 +59,8 @@ def dedup(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .where("n > 1")
         .drop("n")
     )
+    # Written first, so its size is known: the payloads stay where they are if it is small.
+    first = materialize(first, "warc-first")
     return rows.join(first, F.col("digest") == F.col("same"), "left").select(
         "page_id",
         "url",
