@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjectseries.llm import chat, language, ngram_join, packing, pii, toxicity, warc
+from subjectseries.llm import chat, decontamination, language, nearest, ngram_join, packing, pii, quality, toxicity, warc
 from subjectseries.llm.common import table
 from subjectseries.session import scratch_dir
 
@@ -30,6 +30,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_ngram_join")
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = ngram_join.link_classes(table(spark, sf_dir, "documents"))
@@ -112,3 +124,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace_entities(docs, counted=True)
+
+
+@query("op9_nearest")
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
