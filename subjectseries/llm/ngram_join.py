@@ -31,8 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from subjectseries.llm.common import small_batches
+from subjectseries.llm.common import col, fresh, small_batches
 from subjectseries.llm.components import components
 from subjectseries.llm.shingles import mix, shingle_sets
 from subjectseries.session import materialize
@@ -92,7 +93,7 @@ def most_common(n: int, m: int, x: bytes, y: bytes) -> int:
     return (n + m - apart) // 2
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def may_link(n: pd.Series, x: pd.Series, m: pd.Series, y: pd.Series) -> pd.Series:
     rows = zip(n.tolist(), m.tolist(), x, y)
     return pd.Series(
@@ -140,12 +141,13 @@ def _members(counts):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(n, pa.int64()),
                     pa.array(node, pa.int64()),
                     pa.array(group, pa.int64()),
                     pa.array(parity, pa.binary()),
                 ],
-                names=["doc_id", "n", "node", "gid", "parity"],
+                names=["doc_id", "row", "n", "node", "gid", "parity"],
             )
 
     return run
@@ -309,17 +311,31 @@ def _star(postings: DataFrame, turn: int) -> DataFrame:
     return near.unionByName(far)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """One key for rows of equal id and text; null and empty texts are equal here."""
+    return F.md5(
+        F.concat_ws(
+            "|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text.cast("string"), F.lit(""))
+        ).cast("binary")
+    )
+
+
 def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """One row per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, node.
+    """A row per document of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, row, class.
 
-    ``component_id`` is the smallest doc_id reachable over links; ``node`` numbers equal sets.
+    ``component_id`` is the smallest doc_id reachable over links; ``row`` is the key of the row's
+    id and text, ``class`` numbers the linked texts (0 for those without shingles).
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        row_key(F.col("doc_id"), F.col("text")).alias("row"),
+    )
     counts = spark.sparkContext.broadcast(bucket_counts(docs))
     members = materialize(
-        docs.mapInArrow(_members(counts), "doc_id long, n long, node long, gid long, parity binary"),
+        docs.mapInArrow(_members(counts), "doc_id long, row string, n long, node long, gid long, parity binary"),
         "join-members",
     )
     nodes = materialize(
@@ -379,19 +395,41 @@ def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
             break
     classes = components(proven)
 
-    linked = nodes.select("node", "first").join(classes, "node")
-    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "component").select("node", "component_id")
-    return members.join(named, "node", "left").join(
-        nodes.select("node", "first"), "node", "left"
-    ).select(
+    linked = _classed(nodes.select("node", "first"), classes)
+    least = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
+    named = linked.join(least, "comp").select("node", F.col("comp").alias("class"), "component_id")
+    return members.drop("parity", "gid").join(named, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("component_id", "first")).otherwise(F.col("doc_id")).alias("component_id"),
-        "node",
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "row",
+        F.coalesce("class", F.lit(0)).alias("class"),
     )
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class, that with the smallest id, and all its columns.
+
+    Texts without shingles are linked with nothing and stay; of rows with one id and text, one
+    stays. Only rows that go, or that occur repeatedly, take part in joins.
+    """
+    rows = materialize(link_classes(docs), "join-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    kept = rows.where("n_shingles > 0").groupBy("class").agg(first["row"].alias("stays"))
+    gone = rows.where("n_shingles > 0").join(kept, "class").where("row <> stays").select("row").distinct()
+    gone = materialize(gone, "join-gone")
+    several = rows.groupBy("row").count().where("count > 1").select("row")
+    several = materialize(several.join(gone, "row", "left_anti"), "join-repeated")
+    key = fresh(docs, "row_key")
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    stay = keyed.join(gone.withColumnRenamed("row", key), key, "left_anti")
+    several = several.withColumnRenamed("row", key)
+    single = stay.join(several, key, "left_anti")
+    doubled = stay.join(several, key, "left_semi").dropDuplicates([key])
+    columns = [col(c) for c in docs.columns]
+    return single.select(*columns).unionByName(doubled.select(*columns))
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, items): the shingle sets of the nodes in ``pairs``, from one text of each."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
