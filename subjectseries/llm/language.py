@@ -3,7 +3,7 @@
 Every letter has a random vector of +1 and -1. An n-gram's vector is the product of its
 letters' vectors, each rotated by its distance from the n-gram's end; a text's profile is the
 sum over its n-grams (letters and the gaps between words). A language's prototype is the sum
-over its training texts, and a text gets the language whose prototype has the largest cosine
+over its training texts, each at unit length, and a text gets the language whose prototype has the largest cosine
 with its profile.
 
 Since sums are linear, training counts the n-grams of each language in a task and makes one
@@ -116,6 +116,8 @@ def _train(size: int):
                 codes, counts = gram_counts(block)
                 mine = langs[start : start + len(block)]
                 names = sorted(set(mine))
+                # Every text counts alike, however long it is.
+                counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1)
                 rows = np.stack([counts[mine == n].sum(0) for n in names])
                 for name, vector in zip(names, bundle(codes, rows, size)):
                     sums[name] = sums.get(name, 0) + vector.astype(np.float64)

@@ -155,7 +155,14 @@ def _members(counts):
 
 def _postings(counts, long_list: int):
     schema = pa.schema(
-        [("token", pa.int64()), ("salt", pa.int32()), ("gid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
+        [
+            ("token", pa.int64()),
+            ("salt", pa.int32()),
+            ("spread", pa.bool_()),
+            ("gid", pa.int64()),
+            ("n", pa.int32()),
+            ("pos", pa.int32()),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +184,7 @@ def _postings(counts, long_list: int):
                     (
                         prefix,
                         ((gid & 0x7FFFFFFF) % lists).astype(np.int32),
+                        lists > 1,
                         np.full(length, gid),
                         np.full(length, len(found), np.int32),
                         np.arange(length, dtype=np.int32),
@@ -352,10 +360,9 @@ def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     lists = Window.partitionBy("token", "salt")
     postings = materialize(
         docs.select("text")
-        .mapInArrow(_postings(counts, long_list), "token long, salt int, gid long, n int, pos int")
+        .mapInArrow(_postings(counts, long_list), "token long, salt int, spread boolean, gid long, n int, pos int")
         .withColumn("least", F.min("gid").over(lists))
         .withColumn("most", F.max("gid").over(lists))
-        .withColumn("spread", F.max("salt").over(lists) > 0)
         .where("least < most or spread")
         .drop("least", "most")
         .dropDuplicates(["token", "salt", "gid"]),
@@ -374,23 +381,22 @@ def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
         .unionByName(inside.select(F.col("node").alias("a"), F.col("head").alias("b")))
         .distinct()
     )
-    open_pairs = materialize(_plausible(stars, nodes), "join-candidates")
-    proven = open_pairs.limit(0)
+    open_pairs = materialize(_plausible(_ordered(stars).distinct(), nodes), "join-candidates")
+    proven = done = open_pairs.limit(0)
     while True:
         # Candidates count as links first, so that what they connect need not be tried in full.
         classes = components(proven.unionByName(open_pairs))
-        rest = materialize(_plausible(_rest(postings, nodes, classes), nodes), "join-candidates")
+        rest = _rest(postings, nodes, classes).join(done, ["a", "b"], "left_anti")
+        rest = materialize(_plausible(rest, nodes), "join-candidates")
         tried = open_pairs.unionByName(rest).distinct()
         found = materialize(verified(tried, _sets_of(docs, nodes, tried)), "join-links")
         proven = proven.unionByName(found)
-        fallen = open_pairs.join(found, ["a", "b"], "left_anti")
-        if fallen.isEmpty():
+        done = done.unionByName(tried)
+        if open_pairs.join(found, ["a", "b"], "left_anti").isEmpty():
             break
-        classes = components(proven)
-        open_pairs = materialize(
-            _plausible(_rest(postings, nodes, classes), nodes).join(tried, ["a", "b"], "left_anti"),
-            "join-candidates",
-        )
+        # Some fell: what they had connected may hide links that are still to be tried.
+        rest = _rest(postings, nodes, components(proven)).join(done, ["a", "b"], "left_anti")
+        open_pairs = materialize(_plausible(rest, nodes), "join-candidates")
         if open_pairs.isEmpty():
             break
     classes = components(proven)
@@ -486,4 +492,9 @@ def _rest(postings: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFram
         .where("comp < comp2")
         .select("a", "b")
     )
-    return between.unionByName(within).distinct()
+    return _ordered(between.unionByName(within)).distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair with its smaller node first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -56,11 +56,11 @@ TITLES = {
 
 _GIVEN = "|".join(n for names in NAMES.values() for n in names)
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
-#: Tried in this order; runs are taken whole, so a failed match is not tried again inside a run.
+#: Runs are taken whole or bounded, so that no long run is tried again from each of its places.
 PATTERNS = {
     SECRET: r"(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{8,}+"
     r"|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}+|\bsk-[A-Za-z0-9_-]{20,}+",
-    MAIL: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+",
+    MAIL: r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+",
     IBAN: r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     CARD: r"(?<![0-9.-])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9.-])[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|(?<![0-9.])[0-9]{13,19}(?![0-9])",
     SSN: r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -71,7 +71,16 @@ PATTERNS = {
     IP6: r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])",
     PERSON: rf"(?<!\p{{L}})(?:(?:{_TITLE})\b\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?|(?:{_GIVEN}) \p{{Lu}}\p{{L}}++)",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: One pattern for all. A look at the next character spares most places the single patterns.
+_STARTS = {
+    r"(?=[aAtTsSpPgG])": (SECRET,),
+    r"(?=[A-Za-z0-9])\b": (MAIL, IP6),
+    r"(?=\p{Lu})": (IBAN, PERSON),
+    r"(?=[0-9+(])": (CARD, SSN, PHONE, IP4),
+}
+PATTERN = "|".join(
+    f"{look}(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in kinds)})" for look, kinds in _STARTS.items()
+)
 #: Letters by script and case, vowels apart so that names can be spoken.
 _CLASSES = (
     "0123456789",
