@@ -63,21 +63,23 @@ def continuation(
 def enforce_cap(
     df: DataFrame, cap: int | None, what: str, keys: Sequence[str] = ("subject_id",)
 ) -> DataFrame:
-    """Fail when a subject exceeds the cap; rows are never cut. ``None`` switches it off."""
+    """Fail when a subject exceeds the cap; rows are never cut. ``None`` switches it off.
+
+    The check is part of the plan: rows are counted by subject in each task first, and the
+    subjects above the cap, if any, make the filter fail, whichever columns are read.
+    """
     if cap is None:
         return df
-    over = df.groupBy(*keys).count().filter(F.col("count") > cap).limit(1)
-    if not over.isEmpty():
-        raise RequestError("RESULT_TOO_LARGE", f"{what}: a subject has more than {cap} rows")
-    return df
+    over = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > cap)
+    return within_cap(df.join(over, list(keys), "left"), F.col("_rows"), cap, what).select(*df.columns)
 
 
-def capped(count: Column, cap: int | None, value: Column, what: str) -> Column:
-    """``value``, or a failure of the whole query where ``count`` is above the cap."""
+def within_cap(df: DataFrame, count: Column, cap: int | None, what: str) -> DataFrame:
+    """``df``, failing on any read of it that meets a row whose ``count`` is above the cap."""
     if cap is None:
-        return value
+        return df
     message = F.lit(f"RESULT_TOO_LARGE: {what}: a subject has more than {cap} rows")
-    return F.when(count > cap, F.raise_error(message).cast("bigint")).otherwise(value)
+    return df.filter(F.when(count > cap, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
 def top_codes(counts: DataFrame, k: int = 5) -> DataFrame:

@@ -63,6 +63,9 @@ def _write(
 ) -> str:
     if not overwrite and _has_manifest(spark, path):
         raise SnapshotError(f"dataset {dataset_id} exists")
+    # An old manifest is emptied before its tables are replaced, so it never covers new ones.
+    if overwrite and _has_manifest(spark, path):
+        spark.createDataFrame([], _MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
     for name, df in tables.items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
     marks = [

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from subjectseries.operators.upsert import classify, keep_last, next_version, upsert_sources
@@ -26,8 +27,11 @@ AUDIT_PREFIX = {
 
 
 def batch_rows(valid: DataFrame) -> DataFrame:
-    """Good records of one entity, one per identity, the last occurrence winning."""
-    return keep_last(export.good(valid), ["document_id", "index"])
+    """Good records of one entity, one per identity, the last occurrence winning.
+
+    Documents count in the order of their export time, then by id; records by their index.
+    """
+    return keep_last(export.good(valid), ["exported_at", "document_id", "index"])
 
 
 def classify_batch(target: DataFrame, batch: DataFrame, entity: str) -> DataFrame:
@@ -137,8 +141,10 @@ def ingest(
 ) -> dict[str, DataFrame]:
     """Validate, de-duplicate, classify and commit one batch of documents.
 
-    Each table is committed on its own; replaying a batch changes nothing. Returns
-    the audit rows, the rejection report and the refused documents.
+    Each table is committed on its own; replaying a batch changes nothing. The audit, the
+    counts and all rejections are written before the first commit, and a batch that is
+    retried under its label keeps those of its first run, whose commits it completes.
+    Returns the audit rows, the counts, the rejections and the refused documents.
     """
     now = F.current_timestamp() if now is None else now
     envelope = export.envelopes(documents)
@@ -158,23 +164,42 @@ def ingest(
             classify_batch(target, batch_rows(valid[entity]), entity), f"classified-{entity}"
         )
         classified[entity] = outcome
+    label = batch_label if batch_label is not None else f"v{store.version('sources') + 1:08d}"
+    rejected = export.rejections(valid)
+    counts = outcome_counts(valid, classified)
+    reports = {"counts": counts, "rejections": rejected, "audit": audit_rows(envelope, counts, rejected)}
+    kept = {name: _kept(spark, f"{store.root}/{_FOLDERS[name]}/batch={label}", df) for name, df in reports.items()}
+    for entity, outcome in classified.items():
         rows = delta(outcome, entity, now)
         if not outcome.filter(F.col("outcome").isin("inserted", "updated")).limit(1).isEmpty():
             store.commit(entity, rows, "delta" if store.version(entity) else "base")
     store.commit("sources", merged_catalog, "base")
 
-    rejected = export.rejections(valid)
-    counts = outcome_counts(valid, classified)
-    audit = audit_rows(envelope, counts, rejected)
-    label = batch_label if batch_label is not None else f"v{store.version('sources'):08d}"
-    # One folder per batch label: a retried micro-batch replaces its own audit rows.
-    audit.write.mode("overwrite").parquet(f"{store.root}/batches/batch={label}")
     return {
-        "audit": spark.read.schema(audit.schema).parquet(f"{store.root}/batches/batch={label}"),
-        "counts": counts,
-        "rejections": export.rejection_report(rejected),
+        "audit": kept["audit"],
+        "counts": kept["counts"],
+        "rejections": export.rejection_report(kept["rejections"]),
         "refused": export.refused(envelope),
     }
 
 
+_FOLDERS = {"audit": "batches", "counts": "batch_counts", "rejections": "batch_rejections"}
+
+
+def _kept(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """``df`` as the first complete run wrote it; a run that died while writing is replaced."""
+    if not _complete(spark, path):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write below ``path`` came to its end, which leaves a mark."""
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
+    except AnalysisException:  # no such file
+        return False
+    return True
+
+
 __all__ = ["IDENTITY", "audit_rows", "batch_rows", "classify_batch", "delta", "ingest", "outcome_counts", "validate_all"]

@@ -208,9 +208,7 @@ def glucose_series(
     buckets = aggregates.with_totals(
         aggregates.rollup(rows, "sample_time", "value_mg_dl", resolution)
     )
-    count = paging.capped(
-        F.col("point_count"), max_points, F.col("sample_count"), f"{resolution} series"
-    )
+    buckets = paging.within_cap(buckets, F.col("point_count"), max_points, f"{resolution} series")
     return buckets.select(
         "subject_id",
         F.col("bucket_start").alias("start"),
@@ -218,7 +216,7 @@ def glucose_series(
         round1(F.col("mean_value")).alias("mean_mg_dl"),
         round1("min_value").alias("min_mg_dl"),
         round1("max_value").alias("max_mg_dl"),
-        count.alias("sample_count"),
+        "sample_count",
         "source_record_count",
         "data_fresh_through",
     )

@@ -38,10 +38,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder name under the cluster's checkpoint folder.
 
     Intermediate tables that cut lineage are written here, so executors that are
-    lost can be replaced. Only when the session names no folder (local runs and
-    tests) a temporary one is chosen, once per driver process.
+    lost can be replaced. Only a local session that names no folder, as in tests, gets
+    a temporary one, once per driver process; on a cluster the setting is needed.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_scratch()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -148,7 +148,7 @@ def refused(envelope: DataFrame) -> DataFrame:
 
 
 def records(envelope: DataFrame) -> DataFrame:
-    """All records of accepted documents: ``subject_id, document_id, entity, index, record``.
+    """Records of accepted documents: ``subject_id, document_id, exported_at, entity, index, record``.
 
     One parse and one pass give the five arrays; the element index is kept.
     """
@@ -163,10 +163,11 @@ def records(envelope: DataFrame) -> DataFrame:
     )
     return (
         accepted(envelope)
-        .select("subject_id", "document_id", F.explode(arrays).alias("a"))
+        .select("subject_id", "document_id", "exported_at", F.explode(arrays).alias("a"))
         .select(
             "subject_id",
             "document_id",
+            "exported_at",
             F.col("a.entity").alias("entity"),
             F.posexplode("a.items").alias("index", "record"),
         )
@@ -370,6 +371,7 @@ def validated(all_records: DataFrame, entity: str) -> DataFrame:
         fielded,
         "subject_id",
         "document_id",
+        "exported_at",
         "index",
         F.col("s_source_sample_id").alias("raw_sample_id"),
         _rejection(entity).alias("rejection"),
@@ -399,8 +401,13 @@ def rejections(validated_by_entity: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def rejection_report(rejected: DataFrame, cap: int = REJECTION_CAP) -> DataFrame:
-    """The first ``cap`` rejections of each document, and whether there are more."""
+def rejection_report(rejected: DataFrame, cap: int | None = None) -> DataFrame:
+    """The first ``cap`` rejections of each document, and whether there are more.
+
+    Without a cap all rejections are reported and none is truncated.
+    """
+    if cap is None:
+        return rejected.withColumn("truncated", F.lit(False))
     by_doc = Window.partitionBy("document_id")
     ranked = rejected.withColumn(
         "_rank", F.row_number().over(by_doc.orderBy("entity_order", "index"))

@@ -266,16 +266,23 @@ def snapshot_id(start: datetime, end: datetime, version: str = SNAPSHOT_SCHEMA_V
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content identity: row count and the sum of row hashes.
+    """Order-free content identity: row count and sums of row digests.
 
     File bytes depend on task layout, so they cannot serve. A sum, unlike xor, also
-    changes when a row is doubled.
+    changes when a row is doubled. The digest covers the names of the columns and
+    nulls, so a value that moves to another column changes it; its 240 bits are
+    summed in four parts.
     """
-    hashed = F.xxhash64(*df.columns).cast("decimal(20,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(hashed), F.lit(0).cast("decimal(30,0)")).cast("string").alias("fingerprint"),
-    )
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    digest = F.sha2(text, 256)
+    sums = [
+        F.coalesce(
+            F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")),
+            F.lit(0).cast("decimal(38,0)"),
+        ).cast("string")
+        for k in range(4)
+    ]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *sums).alias("fingerprint"))
 
 
 def derived_id(prefix: str, **identity) -> str:
@@ -303,19 +310,21 @@ def write_snapshot(
     start, end = time_range(start, end)
     name = snapshot_id(start, end)
     target = f"{root.rstrip('/')}/{name}"
-    mode = "overwrite" if overwrite else "errorifexists"
     if not overwrite and _readable(spark, f"{target}/manifest"):
         raise SnapshotError(f"snapshot {name} exists")
     extracted = extract(tables, start, end)
     require_canonical(extracted)
-    # Without a manifest, folders left by a dead job do not count as a snapshot.
+    # Without a manifest, folders left by a dead job do not count as a snapshot; an old one
+    # is emptied before its tables are replaced.
+    if overwrite and _readable(spark, f"{target}/manifest"):
+        spark.createDataFrame([], _MANIFEST).write.mode("overwrite").parquet(f"{target}/manifest")
     for table, df in extracted.items():
         canonical_order(df, table).write.mode("overwrite").option("compression", "zstd").parquet(
             f"{target}/{table}"
         )
     stored = read_tables(spark, target)
     manifest = _manifest_rows(stored, name, start, end, tz, created_at)
-    manifest.coalesce(1).write.mode(mode).parquet(f"{target}/manifest")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest")
     return target
 
 

@@ -150,3 +150,46 @@ def test_lists_and_snapshots_come_out_in_order(spark):
     stored = S.canonical_order(df, "glucose").collect()
     keys = [(r.subject_id, r.timestamp, r.glucose_mg_dl) for r in stored]
     assert keys == sorted(keys)
+
+
+def test_later_export_wins_and_nothing_is_capped(spark):
+    store = VersionedStore(spark, tempfile.mkdtemp(prefix="run-"))
+    late = {**HEAD, "exported_at": "2026-08-09T00:00:00Z", "glucose_samples": [sample("a", 111)]}
+    early = {**HEAD, "exported_at": "2026-08-01T00:00:00Z", "glucose_samples": [sample("a", 90), *[sample(f"x{i}", -1) for i in range(150)]]}
+    out = ingest(spark, docs(spark, late, early), store)  # the later export has the smaller id
+    stored = store.read("glucose_samples", STORED["glucose_samples"]).collect()
+    assert [r.value_mg_dl for r in stored] == [111]
+    assert out["rejections"].count() == 150 and not out["rejections"].filter("truncated").count()
+
+
+def test_retried_batch_keeps_its_audit(spark):
+    store = VersionedStore(spark, tempfile.mkdtemp(prefix="run-"))
+    body = {**HEAD, "glucose_samples": [sample("a", 90)]}
+    first = ingest(spark, docs(spark, body), store, batch_label="epoch-0")
+    again = ingest(spark, docs(spark, body), store, batch_label="epoch-0")
+    for out in (first, again):
+        assert (out["audit"].first().glucose_inserted, out["audit"].first().glucose_unchanged) == (1, 0)
+    other = ingest(spark, docs(spark, body), store, batch_label="epoch-1")
+    assert (other["audit"].first().glucose_inserted, other["audit"].first().glucose_unchanged) == (0, 1)
+
+
+def test_fingerprint_sees_moved_values(spark):
+    schema = "a string, b string"
+    left = spark.createDataFrame([(None, "x"), ("y", "z")], schema)
+    right = spark.createDataFrame([("x", None), ("y", "z")], schema)
+    doubled = left.union(left.limit(1))
+    found = [S.fingerprint(df).first() for df in (left, right, doubled, left.orderBy("b"))]
+    assert found[0].fingerprint != found[1].fingerprint and found[0].rows == found[1].rows
+    assert found[0] != found[2] and found[0] == found[3]
+
+
+def test_caps_fail_whatever_is_read(spark):
+    from subjectseries.operators import paging
+
+    rows = spark.createDataFrame([("s", i) for i in range(10)] + [("t", 1)], "subject_id string, n int")
+    for capped in (paging.enforce_cap(rows, 3, "rows"), paging.within_cap(rows, F.col("n"), 5, "rows")):
+        for read in (capped.count, capped.select("n").collect, capped.collect):
+            with pytest.raises(Exception, match="RESULT_TOO_LARGE"):
+                read()
+    assert paging.enforce_cap(rows, 10, "rows").count() == 11
+    assert paging.enforce_cap(rows, 10, "rows").columns == rows.columns
