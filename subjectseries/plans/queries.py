@@ -128,9 +128,14 @@ def _intervals(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
 CATEGORIES = ("glucose", "meals", "workouts", "sleep_intervals", "weight_measurements")
 
 
-def coverage(tables: SubjectTables, start: datetime, end: datetime) -> DataFrame:
+def coverage(
+    tables: SubjectTables, start: datetime, end: datetime, subjects: DataFrame | None = None
+) -> DataFrame:
     """Five rows per subject seen in the window: category, count, first and last time.
 
+    With ``subjects`` (column subject_id), five rows for each of those instead, also for
+    subjects without any row in the window.
+
     All categories share one aggregation. Intervals count when they overlap, and
     report their start times. A category without rows keeps count 0 and nulls.
     """
@@ -166,6 +171,8 @@ def coverage(tables: SubjectTables, start: datetime, end: datetime) -> DataFrame
             F.collect_list(F.struct("kind", F.struct("count", "first_at", "last_at")))
         ).alias("by_kind")
     )
+    if subjects is not None:
+        per_subject = subjects.select("subject_id").distinct().join(per_subject, "subject_id", "left")
     kinds = F.array(*[F.lit(kind) for kind in CATEGORIES])
     return (
         per_subject.withColumn("kind", F.explode(kinds))
@@ -228,13 +235,20 @@ def glucose_summary(
     end: datetime,
     bucket: str = "overall",
     tz: str = DEFAULT_TIMEZONE,
+    subjects: DataFrame | None = None,
 ) -> DataFrame:
-    """Statistics per subject, over the whole window or per local day with data."""
+    """Statistics per subject, over the whole window or per local day with data.
+
+    With ``subjects`` (column subject_id), the whole window has a row for each of those,
+    with count 0 for subjects without samples.
+    """
     start, end = time_range(start, end)
     tz = zone(tz)
     rows = _points(glucose, "sample_time", start, end)
     if bucket == "overall":
         stats = aggregates.summary(rows, ["subject_id"], "sample_time", "value_mg_dl")
+        if subjects is not None:
+            return complete_summary(_named_stats(stats), subjects.select("subject_id").distinct())
     elif bucket == "daily":
         stats = aggregates.daily_summary(rows, "sample_time", "value_mg_dl", tz)
     else:

@@ -41,9 +41,7 @@ STATS = f"""count(*) AS sample_count, min(us) AS first_at, max(us) AS last_at,
   {r1_mean('v', 'count(*)')} AS mean_mg_dl, {r1_median('v')} AS median_mg_dl"""
 
 
-@query(
-    "q1_coverage",
-    """WITH hits AS (
+COVERAGE_SQL = """WITH hits AS (
   SELECT subject_id, 'glucose' AS kind, us AS tm FROM glucose, bounds WHERE us >= lo AND us < hi
   UNION ALL SELECT subject_id, 'meals', us FROM meals, bounds WHERE us >= lo AND us < hi
   UNION ALL SELECT subject_id, 'workouts', s FROM workouts, bounds WHERE s < hi AND e > lo
@@ -52,14 +50,35 @@ STATS = f"""count(*) AS sample_count, min(us) AS first_at, max(us) AS last_at,
 spine AS (SELECT subject_id, kind FROM (SELECT DISTINCT subject_id FROM hits),
   (SELECT unnest(['glucose','meals','workouts','sleep_intervals','weight_measurements']) AS kind))
 SELECT subject_id, kind, count(tm) AS count, min(tm) AS first_at, max(tm) AS last_at
-FROM spine LEFT JOIN hits USING (subject_id, kind) GROUP BY ALL""",
-)
+FROM spine LEFT JOIN hits USING (subject_id, kind) GROUP BY ALL"""
+
+
+@query("q1_coverage", COVERAGE_SQL)
 def coverage(t):
     return Q.coverage(t.stored, START, END).select(
         "subject_id", "kind", "count", us("first_at"), us("last_at")
     )
 
 
+def _with_silent(t):
+    """All subjects, and one without any row."""
+    silent = t.stored.glucose.sparkSession.createDataFrame([("silent",)], "subject_id string")
+    return t.stored.glucose.select("subject_id").distinct().unionByName(silent)
+
+
+@query(
+    "q1_coverage_silent_subjects",
+    COVERAGE_SQL.replace(
+        "(SELECT DISTINCT subject_id FROM hits)",
+        "(SELECT DISTINCT subject_id FROM glucose UNION ALL SELECT 'silent')",
+    ),
+)
+def coverage_silent(t):
+    return Q.coverage(t.stored, START, END, _with_silent(t)).select(
+        "subject_id", "kind", "count", us("first_at"), us("last_at")
+    )
+
+
 @query(
     "q2_glucose_series_raw",
     f"""SELECT subject_id, us AS timestamp, {r1('v')} AS value_mg_dl
@@ -106,6 +125,18 @@ def summary_overall(t):
     return out.withColumns({c: F.unix_micros(c) for c in ("first_at", "last_at")})
 
 
+@query(
+    "q4_glucose_summary_silent_subjects",
+    f"""WITH stats AS (SELECT subject_id, {STATS} FROM glucose, bounds WHERE us >= lo AND us < hi GROUP BY 1)
+SELECT subject_id, coalesce(sample_count, 0) AS sample_count, first_at, last_at,
+  min_mg_dl, max_mg_dl, mean_mg_dl, median_mg_dl
+FROM (SELECT DISTINCT subject_id FROM glucose UNION ALL SELECT 'silent') LEFT JOIN stats USING (subject_id)""",
+)
+def summary_silent(t):
+    out = Q.glucose_summary(t.stored.glucose, START, END, subjects=_with_silent(t))
+    return out.withColumns({c: F.unix_micros(c) for c in ("first_at", "last_at")})
+
+
 @query(
     "q5_glucose_summary_daily",
     f"""SELECT subject_id, day AS local_date, {STATS}
