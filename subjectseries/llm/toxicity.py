@@ -13,8 +13,8 @@ shuffled. Labels are learned from at most ``most_labels`` labelled rows (those w
 smallest hash of the id), and the model keeps at most ``most_grams`` n-grams, the most frequent
 ones; so what reaches the driver and every task is bounded. All texts are scored in whole.
 
-Edge cases: null and empty texts, and texts without a letter, score the share of toxic rows
-among the training rows; labels that are null are no labels, an id with several labels takes
+Edge cases: null and empty texts, and texts without a letter, have average evidence and so the
+low score of an ordinary text; labels that are null are no labels, an id with several labels takes
 the largest; without labels of both classes every score is the share of toxic labels (0 if
 there are none); repeated rows are scored alike; further columns are ignored.
 """
@@ -180,9 +180,9 @@ class Model:
         return (totals + PAD * self.average) / (counts + PAD), counts
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        ratio, counts = self.evidence(texts)
+        ratio, _ = self.evidence(texts)
         curve = 1 / (1 + np.exp(-np.clip(self.slope * ratio + self.offset, -50, 50)))
-        return np.where((counts > 0) & self.usable, curve, self.prior)
+        return curve if self.usable else np.full(len(texts), self.prior)
 
 
 def build(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, prior: float) -> Model:
