@@ -42,7 +42,35 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op4_ngram_join")
+_JOIN_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) BETWEEN 1 AND 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END) AS shingle
+  FROM cut),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * k >= 80 * (p.n + q.n - k)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+walk AS (
+  SELECT doc_id, doc_id AS reached FROM documents
+  UNION
+  SELECT walk.doc_id, edges.b FROM walk JOIN edges ON walk.reached = edges.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT doc_id, min(reached) AS component_id FROM walk GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@query("op4_ngram_join", _JOIN_SQL)
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = ngram_join.link_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "n_shingles", "component_id")
