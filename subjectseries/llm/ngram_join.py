@@ -294,29 +294,27 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(may_link("n", "x", "m", "y")).select("a", "b")
 
 
-def _star(postings: DataFrame, turn: int) -> DataFrame:
-    """(gid, leader) of groups that share a shingle and fit; every list has one leader.
+def _stars(postings: DataFrame) -> DataFrame:
+    """(gid, leader) of groups that share a shingle and fit; every list has two leaders.
 
-    The leader of a list is its smallest group in the first turn, later one chosen by hash.
+    One is its smallest group, the other is chosen by hash. Leaders of a shingle's lists, where
+    it has several, are tried against the first of them.
     """
-    rank = F.struct("n", "gid", "pos")
-    if turn:
-        rank = F.struct(F.xxhash64("gid", F.lit(turn)).alias("draw"), "gid", "n", "pos")
     lists = Window.partitionBy("token", "salt")
-    pairs = postings.withColumn("lead", F.min(rank).over(lists)).select(
-        "token", "gid", "n", "pos", "spread", F.col("lead.gid").alias("leader"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("j")
+    smallest = F.min(F.struct("n", "gid", "pos")).over(lists)
+    drawn = F.min(F.struct(F.xxhash64("gid").alias("draw"), "n", "gid", "pos")).over(lists)
+    leaders = F.array(*(F.struct(f"{x}.n", f"{x}.gid", f"{x}.pos") for x in ("smallest", "drawn")))
+    led = postings.withColumn("smallest", smallest).withColumn("drawn", drawn)
+    near = led.select("gid", "n", "pos", F.explode(leaders).alias("lead"))
+    heads = postings.where("spread").withColumn("smallest", smallest).where("gid = smallest.gid")
+    first = F.min(F.struct("n", "gid", "pos")).over(Window.partitionBy("token"))
+    far = heads.withColumn("lead", first).select("gid", "n", "pos", "lead")
+    fits = _fits(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))
+    return (
+        near.unionByName(far)
+        .where(fits & (F.col("gid") != F.col("lead.gid")))
+        .select("gid", F.col("lead.gid").alias("leader"))
     )
-    fits = _fits(F.col("n"), F.col("pos"), F.col("m"), F.col("j")) & (F.col("gid") != F.col("leader"))
-    near = pairs.where(fits).select("gid", "leader")
-    heads = (
-        pairs.where("spread and gid = leader")
-        .select("token", "gid", "n", "pos")
-        .withColumn("lead", F.min(F.struct("n", "gid", "pos")).over(Window.partitionBy("token")))
-    )
-    far = heads.where(
-        _fits(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")) & (F.col("gid") != F.col("lead.gid"))
-    ).select("gid", F.col("lead.gid").alias("leader"))
-    return near.unionByName(far)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -372,8 +370,7 @@ def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     heads = nodes.groupBy("gid").agg(F.min("node").alias("head"))
     inside = nodes.join(heads, "gid").where("node <> head")
     stars = (
-        _star(postings, 0)
-        .unionByName(_star(postings, 1))
+        _stars(postings)
         .distinct()
         .join(heads.select("gid", F.col("head").alias("a")), "gid")
         .join(heads.select(F.col("gid").alias("leader"), F.col("head").alias("b")), "leader")
