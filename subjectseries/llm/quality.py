@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from subjectseries.llm.common import held_out, small_batches
 
-MOST_LABELS = 20_000
-POOL = 10_000
+MOST_LABELS = 12_000
+POOL = 6_000
 ROUNDS = 4
 #: Rows that each view labels in a round, as a share of the labelled ones.
 ADDED = 0.1
