@@ -309,7 +309,12 @@ def _stars(postings: DataFrame) -> DataFrame:
     heads = postings.where("spread").withColumn("smallest", smallest).where("gid = smallest.gid")
     first = F.min(F.struct("n", "gid", "pos")).over(Window.partitionBy("token"))
     far = heads.withColumn("lead", first).select("gid", "n", "pos", "lead")
-    fits = _fits(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))
+    # A leader seldom meets a group at the first shingle that they share, so the position counts
+    # in full: what comes before it may be shared too.
+    n, m, i, j = F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")
+    alike = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    most = F.least(i, j) + F.least(n - i, m - j)
+    fits = alike & ((100 + PERCENT) * most >= PERCENT * (n + m))
     return (
         near.unionByName(far)
         .where(fits & (F.col("gid") != F.col("lead.gid")))
