@@ -8,19 +8,23 @@ the type's format: digits stay digits, letters keep case and script, card number
 check digit, addresses valid numbers, first names their gender.
 
 Distinctness is checked over the corpus: where two entities share a surrogate, or a surrogate is
-itself an entity of the corpus, all but one of them are drawn again until none is left.
+itself an entity of the corpus, all but one of them are drawn again until none is left. After
+``WIDEN`` draws a surrogate gets longer with each draw, also beyond what its type allows, so a
+form of few values never runs out.
 
 Only distinct texts with entities are taken apart; entities are made distinct before they are
 drawn, so a third of all rows may hold one entity or be one text.
 
 Edge cases: a null text stays null, an empty one empty, with 0 entities; numbers whose check
-digit fails are no cards; repeated rows are treated alike and all returned; all columns of the
+digit fails are no cards; a blank to fill in, that is a line of one sign, is no secret; repeated rows are treated alike and all returned; all columns of the
 input are kept, and names that clash with helper columns do no harm; an empty table gives no
 rows. Very long texts are handled whole.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ from subjectseries.session import materialize
 
 KEY = "change-this-key"
 #: Draws before a surrogate may also change its length.
-WIDEN, MOST_DRAWS = 20, 60
+WIDEN = 20
 
 MAIL, SECRET, CARD, PHONE, SSN, IBAN, IP4, IP6, PERSON = (
     "mail",
@@ -58,7 +62,8 @@ _GIVEN = "|".join(n for names in NAMES.values() for n in names)
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 #: Runs are taken whole or bounded, so that no long run is tried again from each of its places.
 PATTERNS = {
-    SECRET: r"(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{8,}+"
+    SECRET: r"(?i:\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
+    r"(?!(?:\+++|/++|_++|\.++|~++|-++)(?![A-Za-z0-9+/_.~-]))[A-Za-z0-9+/_.~-]{8,}+"
     r"|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}+|\bsk-[A-Za-z0-9_-]{20,}+",
     MAIL: r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+",
     IBAN: r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -99,6 +104,21 @@ _CLASSES = (
 _WIDTH = 60
 _ALPHABET = "".join((c * _WIDTH)[:_WIDTH] for c in _CLASSES)
 _HEX = ("0123456789abcdef" * _WIDTH)[:_WIDTH]
+#: What a secret without letters and digits is drawn from; the second has the signs of ``sk-`` keys.
+_SIGNS, _SK_SIGNS = (("+/_.~-" * _WIDTH)[:_WIDTH], ("_-" * _WIDTH)[:_WIDTH])
+#: Blocks of the other letters with case: Latin, Greek, Cyrillic, Armenian, Georgian, Cherokee,
+#: Glagolitic, Coptic, Deseret.
+_BLOCKS = (
+    (0xC0, 0x180), (0x180, 0x250), (0x250, 0x2B0), (0x1E00, 0x1F00), (0x370, 0x3E2), (0x1F00, 0x2000),
+    (0x400, 0x460), (0x460, 0x530), (0x531, 0x590), (0x10A0, 0x10FB), (0x1C90, 0x1CC0), (0x13A0, 0x13FE),
+    (0x2C00, 0x2C60), (0x2C80, 0x2CF0), (0x10400, 0x10450),
+)
+_MORE = tuple(
+    letters
+    for start, end in _BLOCKS
+    for case in ("Ll", "Lu")
+    if len(letters := "".join(c for c in map(chr, range(start, end)) if unicodedata.category(c) == case)) > 1
+)
 
 
 def _type(entity: Column) -> Column:
@@ -157,14 +177,28 @@ def _number(stream: Column, at: Column, below: Column | int) -> Column:
     return F.conv(stream.substr(start.cast("int"), F.lit(4)), 16, 10).cast("int") % below
 
 
+def _other_letter(c: Column, number: Column) -> Column:
+    """A letter outside the alphabet drawn within its block and case, one without case within
+    the 64 code points around it; other characters stay."""
+    point = F.ascii(c)
+    near = F.decode(F.unhex(F.lpad(F.hex(point - point % 64 + number % 64), 8, "0")), "UTF-32")
+    caseless = r"^[\p{L}&&[^\p{Lu}\p{Ll}]]$"
+    out = F.when(c.rlike(caseless) & near.rlike(caseless), near).otherwise(c)
+    for letters in reversed(_MORE):
+        drawn = F.lit(letters).substr(number % len(letters) + 1, F.lit(1))
+        out = F.when(F.instr(F.lit(letters), c) > 0, drawn).otherwise(out)
+    return F.when(c.rlike(r"\p{L}"), out).otherwise(c)
+
+
 def _redraw(value: Column, stream: Column, alphabet: Column) -> Column:
-    """Every character drawn anew within its class of the alphabet; other characters stay."""
+    """Every character drawn anew within its class of the alphabet, other letters within their
+    block; other characters stay."""
 
     def one(c: Column, i: Column) -> Column:
         place = F.instr(alphabet, c)
         start = F.floor((place - 1) / _WIDTH).cast("int") * _WIDTH
         drawn = alphabet.substr(start + _number(stream, i, _WIDTH) + 1, F.lit(1))
-        return F.when(place > 0, drawn).otherwise(c)
+        return F.when(place > 0, drawn).otherwise(_other_letter(c, _number(stream, i, 1 << 16)))
 
     chars = F.filter(F.split(value, ""), lambda c: c != "")
     return F.array_join(F.transform(chars, one), "")
@@ -185,9 +219,11 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
 
     Each step is a column of its own, as later ones use it more than once. Of a name, the family
     name depends on the last word alone, so relatives stay relatives; the first name comes from
-    the list of its gender and script.
+    the list of its gender and script. Draws from ``WIDEN`` on lengthen what is drawn from: mail
+    addresses at their start, others at their end.
     """
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
+    longer = F.greatest(attempt - (WIDEN - 1), F.lit(0))
 
     def seed(*parts: Column) -> Column:
         return _stream(F.concat_ws("|", F.lit(key), *parts, attempt.cast("string")))
@@ -202,19 +238,32 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
         .withColumn("given_stream", F.when(person, seed(F.lit("given"), F.lower(F.element_at(words, 1)))))
         .withColumn(
             "alphabet",
-            F.when(lower_hex, _HEX).when(upper_hex, _HEX.upper()).otherwise(_ALPHABET),
+            F.when(lower_hex, _HEX)
+            .when(upper_hex, _HEX.upper())
+            .when((kind == SECRET) & canon.rlike("^[_-]+$"), _SK_SIGNS)
+            .when((kind == SECRET) & ~canon.rlike("[A-Za-z0-9]"), _SIGNS)
+            .otherwise(_ALPHABET),
         )
         .withColumn("source", F.when(person, F.element_at(words, -1)).otherwise(canon))
+        .withColumn(
+            "source",
+            F.when(longer == 0, F.col("source"))
+            .when(kind == MAIL, F.concat(F.repeat(F.substring("source", 1, 1), longer), "source"))
+            # Addresses of full groups get further groups, as groups have a largest size.
+            .when(kind == IP6, F.concat(F.regexp_replace("source", "[0-9a-f]+", "0000"), F.repeat(F.lit(":0000"), longer - 1)))
+            .otherwise(F.concat("source", F.repeat(F.substring("source", -1, 1), longer))),
+        )
     )
     steps = steps.withColumn("free", _redraw(F.col("source"), F.col("stream"), F.col("alphabet")))
-    free, stream, size = F.col("free"), F.col("stream"), F.length("canon")
+    free, stream, size = F.col("free"), F.col("stream"), F.length("source")
     # A card keeps its first digit, which names the kind of card, and gets a valid check digit.
     steps = steps.withColumn(
         "trunk", F.when(kind == CARD, F.concat(F.substring(canon, 1, 1), free.substr(F.lit(2), size - 2)))
     )
     card = F.concat("trunk", ((10 - _luhn(F.concat("trunk", F.lit("0")))) % 10).cast("string"))
+    octets = F.split(canon, r"\.")
     octet = F.transform(
-        F.split(canon, r"\."),
+        F.concat(octets, F.array_repeat(F.lit("100"), F.greatest(longer - WIDEN, F.lit(0)))),
         lambda c, i: F.when((F.length(c) == 1) & (attempt < WIDEN), 1 + _number(stream, i, 9))
         .when((F.length(c) == 2) & (attempt < WIDEN), 10 + _number(stream, i, 90))
         .otherwise(100 + _number(stream, i, 156))
@@ -251,16 +300,20 @@ def _rendered(kind: Column, value: Column, surrogate: Column) -> Column:
             F.when(_numeric(kind), c.rlike("[0-9]")).otherwise(c != " "),
             F.struct((a["k"] + 1).alias("k"), F.concat(a["out"], surrogate.substr(a["k"], F.lit(1))).alias("out")),
         ).otherwise(F.struct(a["k"].alias("k"), F.concat(a["out"], c).alias("out"))),
-    )["out"]
+    )
+    spaced = F.concat(spaced["out"], surrogate.substr(spaced["k"], F.length(surrogate)))
+    # What a lengthened surrogate has more stands before the places of the entity's characters.
+    more = F.greatest(F.length(surrogate) - F.length(value), F.lit(0))
     cased = F.array_join(
         F.transform(
             chars,
-            lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(surrogate.substr(i + 1, F.lit(1)))).otherwise(
-                surrogate.substr(i + 1, F.lit(1))
+            lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(surrogate.substr(i + more + 1, F.lit(1)))).otherwise(
+                surrogate.substr(i + more + 1, F.lit(1))
             ),
         ),
         "",
     )
+    cased = F.concat(surrogate.substr(F.lit(1), more), cased)
     return (
         F.when(_numeric(kind) | (kind == IBAN), spaced)
         .when(kind.isin(MAIL, IP6), cased)
@@ -301,7 +354,7 @@ def mapping(found: DataFrame, key: str) -> DataFrame:
     base = materialize(found.select(*names).distinct().withColumn("attempt", F.lit(0)), "pii-entities")
     held = materialize(drawn(base, key), "pii-surrogates")
     originals = base.select("kind", F.col("canon").alias("surrogate")).distinct().withColumn("taken", F.lit(True))
-    for _ in range(MOST_DRAWS):
+    while True:
         first = held.groupBy("kind", "surrogate").agg(
             F.count("*").alias("n"), F.min(F.struct("attempt", "canon", "gender")).alias("keeps")
         )
@@ -318,7 +371,6 @@ def mapping(found: DataFrame, key: str) -> DataFrame:
             kept.unionByName(drawn(again, key).select(*names, "attempt", "surrogate")),
             "pii-surrogates",
         )
-    raise RuntimeError("no distinct surrogates are left for some entities")
 
 
 def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY, counted: bool = False) -> DataFrame:

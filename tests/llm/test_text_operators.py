@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import corpus_pipeline
@@ -194,6 +195,48 @@ def test_surrogates(spark, empty_docs):
     assert pii.replace_entities(empty_docs).count() == 0
 
 
+def test_surrogates_never_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WIDEN", 2)
+    short = [f"{c}{v}" for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou"]
+    names = [*short, "Παπαδοπούλου", "Θαξ", "Կարապետյան", "ẠỄứ", "Şahın", "𐐀𐐨𐐩", "B中文"]
+    # All addresses of their form.
+    hosts = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    rows = [(1, "password: ________ token = -------- secret: ........"), (2, "token = -.-.-.-. sk-" + "-_" * 12)]
+    rows += [(10 + k, f"Mrs {n} came") for k, n in enumerate(names)]
+    rows += [(900, " ".join(hosts)), (901, "Anna Παππά and Anna Παππά")]
+    got = {r.doc_id: r for r in pii.replace_entities(documents(spark, rows), counted=True).collect()}
+    assert got[1].text == rows[0][1] and got[1].n_entities == 0
+    signs = re.fullmatch(r"token = ([+/_.~-]{8,}) sk-([_-]{24,})", got[2].text)
+    assert signs and signs[1] != "-.-.-.-." and signs[2] != "-_" * 12
+    drawn = [got[10 + k].text.split()[1] for k in range(len(names))]
+    assert len(set(drawn)) == len(names) and not set(drawn) & set(names)
+    for name, surrogate in zip(names, drawn):
+        assert surrogate[0].isupper() and surrogate.isalpha() and len(surrogate) >= len(name)
+        for c, d in zip(name, surrogate):
+            assert unicodedata.name(c).split()[0].split("-")[0] == unicodedata.name(d).split()[0].split("-")[0]
+    addresses = got[900].text.split()
+    assert len(set(addresses)) == len(hosts) and not set(addresses) & set(hosts)
+    first, _, again = got[901].text.partition(" and ")
+    assert first == again and not {"Παππά", "Anna Παππά"} & {first.split()[1], first}
+
+
+def test_lengthened_surrogates_keep_type_and_coreference(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WIDEN", 0)
+    rows = [(1, f"{PRIVATE[0]} ANN.LEE@mail.example.com"), (2, f"{PRIVATE[2]} 4539 1488 0343 6467"), (3, PRIVATE[1])]
+    rows += [(4, PRIVATE[3]), (5, "1:2:3:a:5:6:7:8"), (6, PRIVATE[4]), (7, "DE44 5001 0517 5407 3249 31"), (8, f"token={PRIVATE[5]}")]
+    got = {r.doc_id: r.text for r in pii.replace_entities(documents(spark, rows)).collect()}
+    mails = got[1].split()
+    assert mails[0].lower() == mails[1].lower() and mails[1][1:8].isupper()
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{3}@[a-z]{4}\.[a-z]{7}\.com", mails[0])
+    cards = got[2].split(" ", 1)
+    assert len(cards[0]) == 17 and cards[1].replace(" ", "") == cards[0]
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{5}", got[3])
+    assert re.fullmatch(r"(1\d\d|2[0-5]\d)(\.(1\d\d|2[0-5]\d)){3,}", got[4])
+    assert re.fullmatch(r"[0-9a-f]{4}(:[0-9a-f]{4}){7}", got[5])
+    assert re.fullmatch(r"9\d\d-\d\d-\d{5}", got[6]) and re.fullmatch(r"DE\d\d( \d{4}){4} \d{3}", got[7])
+    assert re.fullmatch(r"token=[0-9a-f]{41}", got[8])
+
+
 def test_pipeline_stages(spark, tmp_path):
     items = [(k, prose(100 + k, 20)) for k in range(3)]
     docs = [(k, prose(200 + k, 80)) for k in range(40)]
