@@ -1,15 +1,13 @@
-"""Operator 2: benchmark passages in documents, by SimHash of item-sized windows.
-
-A window has as many words as the benchmark item that it is compared with. Windows that share
-no five-word shingle with any item cannot be similar to one, so only those around shared
-shingles are fingerprinted. A fingerprint has 64 bits; each is the majority vote of the window's
-shingles, repeated shingles voting repeatedly. Fingerprints are cut into eight blocks. Two that
-differ in at most 15 bits differ in at most one bit of some block, so every item is entered
-under each block's value and the values one bit away, and all fingerprints within the radius
-meet. Candidates are verified by the weighted Jaccard similarity of their shingles, which counts
-repetitions: it must reach 0.8.
-
-Everything is DataFrame functions. Votes are added sixteen bits apart inside longs. The items'
+"""Operator 2: benchmark passages in documents, by shingles that item-sized windows share.
+
+A window has as many words as the benchmark item that it is compared with. It and the item are
+similar if the weighted Jaccard similarity of their five-word shingles, which counts
+repetitions, reaches 0.8. No radius or sample decides what is compared: the places of a text
+whose shingle an item has bound from above what a window has in common with it. Texts with too
+few such places for an item, and then windows with too few, cannot reach the similarity; all
+others are measured exactly.
+
+Everything is DataFrame functions. The items'
 shingles are broadcast only up to a checked number of rows; beyond it the join is shuffled.
 Equal texts are examined once, so groups of copies cost one text.
 
@@ -32,8 +30,6 @@ from subjectseries.session import materialize
 
 WORDS = 5
 PERCENT = 80
-RADIUS = 15
-BLOCKS, BLOCK_BITS = 8, 8
 #: Shingles of the benchmark that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LANES = 0x0001000100010001
@@ -65,6 +61,7 @@ def simhash(shingles: Column) -> Column:
     """The 64 majority bits of an array of hashes.
 
     Votes for the bits k, k + 16, k + 32 and k + 48 are counted in the four quarters of a long.
+    Leaks are found without it, as no radius holds all windows of a similarity.
     """
     size = F.size(shingles)
     half = F.shiftright(size, 1).cast("long")
@@ -90,23 +87,24 @@ def _counted(shingles: Column) -> Column:
     )
 
 
-def _block(fingerprint: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-
-
 def items_table(benchmark: DataFrame) -> DataFrame:
-    """(item_id, width, shingles, fingerprint) of the items that are long enough."""
+    """(item, item_id, width, shingles) of the items that are long enough; ``item`` numbers them."""
     words = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("words"))
     return (
         words.select("item_id", F.size("words").alias("width"), shingle_hashes(F.col("words")).alias("shingles"))
         .where(F.col("width") >= WORDS)
-        .withColumn("fingerprint", simhash(F.col("shingles")))
+        .withColumn("item", F.monotonically_increasing_id())
     )
 
 
+def _enough(common: Column, sizes: Column) -> Column:
+    """Whether so many common shingles of two sets of ``sizes`` together reach the similarity."""
+    return 100 * common >= PERCENT * (sizes - common)
+
+
 def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, width, start, shingles): the item-sized windows around shared shingles."""
-    entries = items.select("width", F.explode("shingles").alias("hash")).distinct()
+    """(key, item, start, shingles): the item-sized windows that may be similar to the item."""
+    entries = items.select("item", F.explode("shingles").alias("hash")).distinct()
     if entries.count() <= BROADCAST_ROWS:
         entries = F.broadcast(entries)
     # Words are a column of their own, since every shingle uses them.
@@ -117,12 +115,23 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     anchors = (
         texts.select("key", F.posexplode_outer("shingles").alias("pos", "hash"))
         .join(entries, "hash")
-        .select("key", "width", "pos")
+        .select("key", "item", "pos")
         .distinct()
     )
     anchors = materialize(anchors, "leak-anchors")
-    hit = materialize(anchors.select("key").distinct(), "leak-texts")
-    wanted = docs.withColumn("key", F.md5(F.col("text").cast("binary"))).join(hit, "key", "left_semi")
+    # Even if a window has no other shingles, it needs this share of the item's.
+    sizes = items.select("item", "width", F.size("shingles").alias("size"))
+    hit = (
+        anchors.groupBy("key", "item")
+        .agg(F.count("*").alias("places"))
+        .join(sizes, "item")
+        .where(100 * F.col("places") >= PERCENT * F.col("size"))
+        .select("key", "item", "width", "size")
+    )
+    hit = materialize(hit, "leak-hits")
+    # Written first, so its size is known: the texts stay where they are if it is small.
+    keys = materialize(hit.select("key").distinct(), "leak-keys")
+    wanted = docs.withColumn("key", F.md5(F.col("text").cast("binary"))).join(keys, "key", "left_semi")
     wanted = (
         wanted.dropDuplicates(["key"])
         .select("key", word_hashes(F.col("text")).alias("words"))
@@ -131,17 +140,19 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = materialize(wanted, "leak-wanted")
     last = F.greatest(F.col("length") - F.col("width"), F.lit(0))
     low = F.greatest(F.col("pos") - F.col("width") + WORDS, F.lit(0))
-    return (
-        anchors.join(wanted.select("key", "length"), "key")
-        .select("key", "width", F.explode(F.sequence(F.least(low, last), F.least("pos", last))).alias("start"))
-        .distinct()
-        .join(wanted.select("key", "shingles"), "key")
-        .select(
-            "key",
-            "width",
-            "start",
-            F.slice("shingles", F.col("start") + 1, F.col("width") - WORDS + 1).alias("shingles"),
-        )
+    starts = (
+        anchors.join(hit, ["key", "item"])
+        .join(wanted.select("key", "length"), "key")
+        .withColumn("start", F.explode(F.sequence(F.least(low, last), F.least("pos", last))))
+        .groupBy("key", "item", "start", "width", "size", "length")
+        .agg(F.count("*").alias("most"))
+        .where(_enough(F.col("most"), F.col("size") + F.least("width", "length") - (WORDS - 1)))
+    )
+    return starts.join(wanted.select("key", "shingles"), "key").select(
+        "key",
+        "item",
+        "start",
+        F.slice("shingles", F.col("start") + 1, F.col("width") - WORDS + 1).alias("shingles"),
     )
 
 
@@ -151,38 +162,18 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``key`` is the text's md5, ``start`` and ``width`` count words.
     """
     items = materialize(items_table(benchmark), "leak-items")
-    windows = materialize(
-        _windows(docs, items).withColumn("fingerprint", simhash(F.col("shingles"))), "leak-windows"
-    )
-    blocks = F.array(*(_block(F.col("fingerprint"), k) for k in range(BLOCKS)))
-    near = F.array(F.lit(0), *(F.lit(1 << k) for k in range(BLOCK_BITS)))
-    probes = (
-        items.select("item_id", "width", F.col("fingerprint").alias("theirs"), F.posexplode(blocks).alias("block", "value"))
-        .withColumn("flip", F.explode(near))
-        .withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
-        .drop("flip")
-    )
-    candidates = (
-        windows.select("key", "start", "width", "fingerprint", F.posexplode(blocks).alias("block", "value"))
-        .join(probes, ["width", "block", "value"])
-        .where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("theirs"))) <= RADIUS)
-        .select("key", "start", "width", "item_id")
-        .distinct()
-    )
-    both = candidates.join(windows.drop("fingerprint"), ["key", "start", "width"]).join(
-        items.select("item_id", F.col("shingles").alias("item")), "item_id"
-    )
-    common = F.size(F.array_intersect(_counted(F.col("shingles")), _counted(F.col("item"))))
+    both = _windows(docs, items).join(items.withColumnRenamed("shingles", "theirs"), "item")
+    common = F.size(F.array_intersect(_counted(F.col("shingles")), _counted(F.col("theirs"))))
     measured = both.select(
         "key",
         "item_id",
         "start",
         "width",
         common.alias("common"),
-        (F.size("shingles") + F.size("item")).alias("sizes"),
+        (F.size("shingles") + F.size("theirs")).alias("sizes"),
     )
     return (
-        measured.where(100 * F.col("common") >= PERCENT * (F.col("sizes") - F.col("common")))
+        measured.where(_enough(F.col("common"), F.col("sizes")))
         .withColumn("similarity", F.col("common") / (F.col("sizes") - F.col("common")))
         .groupBy("key", "item_id")
         .agg(

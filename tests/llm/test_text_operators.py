@@ -132,6 +132,18 @@ def test_leaks_match_brute_force(spark, empty_docs):
     assert decontamination.decontaminate(frame, benchmark.limit(0)).count() == len(docs)
 
 
+def test_leaks_at_the_threshold_are_all_found(spark):
+    # One word changed of 50 leaves 41 of 51 shingles: 0.804.
+    items = [(k, prose(5000 + k, 50)) for k in range(300)]
+    docs = []
+    for k, text in items:
+        words = text.split()
+        words[20] = "other"
+        docs.append((k, f"{prose(k + 9000, 10)} {' '.join(words)} {prose(k + 7000, 10)}"))
+    found = decontamination.find_leaks(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in range(300)}
+
+
 def test_simhash_is_the_majority(spark):
     draw = random.Random(8)
     rows = [([draw.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 50, 1000)]
