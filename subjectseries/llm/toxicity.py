@@ -10,8 +10,8 @@ curve, fitted on training rows that the models did not see, turns it into a scor
 
 Counting runs where the texts are read; n-grams are summed in each task before they are
 shuffled. Labels are learned from at most ``most_labels`` labelled rows (those with the
-smallest hash of the id), and the model keeps at most ``most_grams`` n-grams, the most frequent
-ones; so what reaches the driver and every task is bounded. All texts are scored in whole.
+smallest hash of the id). The model keeps all their n-grams, as the smoothing rests on the rare
+ones, so it grows with what these rows hold. All texts are scored in whole.
 
 Edge cases: null and empty texts, and texts without a letter, have average evidence and so the
 low score of an ordinary text; labels that are null are no labels, an id with several labels takes
@@ -35,7 +35,6 @@ from subjectseries.llm.common import col, held_out, small_batches
 ORDER = 5
 BITS = 12
 MOST_LABELS = 200_000
-MOST_GRAMS = 1_000_000
 #: Scores from here on are predicted toxic.
 THRESHOLD = 0.3
 #: One training row in so many is kept from the models to fit the curve.
@@ -290,7 +289,6 @@ def fit(
     labels: DataFrame,
     label: str = "toxic",
     most_labels: int = MOST_LABELS,
-    most_grams: int = MOST_GRAMS,
 ) -> Model:
     """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, ``label``)."""
     spark = docs.sparkSession
@@ -305,9 +303,8 @@ def fit(
         .mapInArrow(_count, "code long, toxic long, ordinary long")
         .groupBy("code")
         .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-        .orderBy((F.col("toxic") + F.col("ordinary")).desc(), "code")
-        .limit(most_grams)
         .toPandas()
+        .sort_values("code")
     )
     model = build(
         counted["code"].to_numpy(np.int64),

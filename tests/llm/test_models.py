@@ -142,3 +142,15 @@ def test_profile_is_the_sum_of_bound_vectors():
     codes, counts = language.gram_counts([text, ""])
     got = language.bundle(codes, counts, size)
     assert got[0].tolist() == want.tolist() and not got[1].any()
+
+
+def test_toxicity_keeps_all_ngrams(spark):
+    draw = np.random.default_rng(5)
+    letters = draw.integers(97, 123, (120, 25_000), dtype=np.uint8)
+    rows = [(i, bytes(row).decode()) for i, row in enumerate(letters)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = toxicity.training_rows(docs, labels, "toxic", 200).where("fold > 0").collect()
+    want = np.unique(np.concatenate([toxicity.grams([r.text])[0] for r in learned]))
+    model = toxicity.fit(docs, labels)
+    assert sum((keys >= 0).sum() for keys, _, _ in model.grams.levels) == len(want) > 1_000_000
