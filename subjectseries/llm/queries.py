@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjectseries.llm import chat, decontamination, language, nearest, ngram_join, packing, pii, quality, toxicity, warc
+from subjectseries.llm import (
+    chat,
+    decontamination,
+    language,
+    lexical,
+    metric_tree,
+    nearest,
+    ngram_join,
+    packing,
+    periodic,
+    pii,
+    quality,
+    toxicity,
+    warc,
+)
 from subjectseries.llm.common import table
 from subjectseries.session import scratch_dir
 
@@ -157,3 +171,121 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_nearest")
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
+_LEXICAL_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+sized AS (SELECT doc_id, row, len(terms) AS n, terms FROM words WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sized),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+counts AS (
+  SELECT doc_id, row, n, term, count(*) AS tf
+  FROM (SELECT doc_id, row, n, unnest(terms) AS term FROM sized)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals),
+gains AS (
+  SELECT doc_id, row, term,
+         w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))) AS gain
+  FROM counts JOIN weights USING (term), totals),
+scores AS (
+  SELECT item_id, doc_id, row, CAST(sum(gain) AS BIGINT) AS score
+  FROM wanted JOIN gains USING (term) GROUP BY item_id, doc_id, row)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scores WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+@query("op11_lexical_search", _LEXICAL_SQL)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# crc32 of the id's digits, bit by bit; a run is an island of words that equal those one period on.
+_PERIODIC_SQL = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS row, list_filter(
+    regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)],
+      list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+      lambda crc, b: list_reduce(
+        list_concat([xor(crc, b)], list_transform(range(8), lambda z: CAST(0 AS UBIGINT))),
+        lambda a, z: xor(a >> CAST(1 AS UBIGINT),
+                         (a & CAST(1 AS UBIGINT)) * CAST(3988292384 AS UBIGINT)))),
+      CAST(4294967295 AS UBIGINT)) AS h
+  FROM documents),
+sized AS (
+  SELECT *, CAST(len(words) AS BIGINT) AS n, CAST(h // 10 AS BIGINT) AS g FROM split),
+placed AS (
+  SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM sized),
+planted AS (
+  SELECT row, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END])
+    ELSE words END AS words
+  FROM placed),
+word AS (SELECT row, n, unnest(words) AS w, unnest(range(n)) AS i FROM planted WHERE n > 0),
+again AS (
+  SELECT x.row, y.i - x.i AS period, x.i AS i
+  FROM word x JOIN word y ON x.row = y.row AND x.w = y.w AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+island AS (
+  SELECT row, period, min(i) AS start, count(*) AS size FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY row, period ORDER BY i) AS k FROM again)
+  GROUP BY row, period, k),
+run AS (
+  SELECT row, start, size + period AS length, min(period) AS period FROM island
+  WHERE size >= greatest(24, 3 * period) - period GROUP BY row, start, size + period),
+runs AS (
+  SELECT row, start, length, min(period) AS period FROM run GROUP BY row, start, length),
+listed AS (
+  SELECT row, count(*) AS n_runs,
+    string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY row),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (
+    PARTITION BY row ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM runs) WHERE k = 1),
+dropped AS (
+  SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+collapsed AS (
+  SELECT row, string_agg(w, ' ' ORDER BY i) AS text
+  FROM word ANTI JOIN dropped USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
+       CAST(best.period AS BIGINT) AS period, CAST((1000 * length) // best.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed.text, '')) AS collapsed_sha256
+FROM split LEFT JOIN listed USING (row) LEFT JOIN best USING (row) LEFT JOIN collapsed USING (row)
+"""
+
+
+@query("op12_periodic_runs", _PERIODIC_SQL)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digest(periodic.periodic_runs(texts))
+
+
+_TREE_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+        FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id))
+WHERE rank <= 20
+"""
+
+
+@query("op13_metric_tree", _TREE_SQL)
+def op13_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.search(table(spark, sf_dir, "embeddings"))
