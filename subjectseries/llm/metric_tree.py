@@ -43,7 +43,7 @@ from subjectseries.session import materialize
 NEAREST = 20
 SCALE = 64
 #: Entries of a page.
-PAGE = 128
+PAGE = 512
 #: Rows of a shard, on average, and routing rows of the root at most.
 SHARD_ROWS = 8_000
 ROUTES = 1024
@@ -56,9 +56,11 @@ _EXACT = float(1 << 53)
 
 @dataclass(slots=True)
 class Page:
-    """Entries: rows, their distances to the parent's routing row, radii and children if inner."""
+    """Entries: rows, their vectors side by side, their distances to the parent's routing row,
+    radii and children if inner."""
 
     rows: np.ndarray
+    plain: np.ndarray
     away: np.ndarray
     radii: np.ndarray | None = None
     children: list[Page] | None = None
@@ -85,15 +87,13 @@ class Tree:
     def _page(self, some: np.ndarray, parent: int | None) -> Page:
         away = np.zeros(len(some)) if parent is None else self._apart(some, parent)
         if len(some) <= self.page:
-            return Page(some, away)
+            return Page(some, self.plain[some], away)
         ways = min(self.page, max(2, 2 * -(-len(some) // self.page)))
         routes = some[np.linspace(0, len(some) - 1, ways).astype(np.int64)]
-        nearest, which = np.full(len(some), np.inf), np.zeros(len(some), np.int64)
-        for k, route in enumerate(routes):
-            apart = self._apart(some, route)
-            closer = apart < nearest
-            nearest[closer], which[closer] = apart[closer], k
-        parts = [(int(r), some[which == k], nearest[which == k]) for k, r in enumerate(routes)]
+        lifted = np.column_stack((self.plain[some], self.lift[some]))
+        centres = np.column_stack((self.plain[routes], self.lift[routes]))
+        which = (lifted @ centres.T - (centres * centres).sum(1) / 2).argmax(1)
+        parts = [(int(r), some[which == k], self._apart(some[which == k], r)) for k, r in enumerate(routes)]
         parts = [p for p in parts if len(p[1])]
         if len(parts) == 1:  # rows that do not differ in double precision
             half = len(some) // 2
@@ -101,16 +101,21 @@ class Tree:
         own = np.array([p[0] for p in parts])
         return Page(
             own,
+            self.plain[own],
             np.zeros(len(own)) if parent is None else self._apart(own, parent),
             np.array([p[2].max() for p in parts]),
             [self._page(p[1], p[0]) for p in parts],
         )
 
-    def _scores(self, some: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
-        self.computed += len(some)
+    def _scores(self, page: Page, keep: np.ndarray | None, query, exact: bool) -> np.ndarray:
+        """Scores of the page's entries, or of those that ``keep`` marks."""
         if exact:
-            return self.plain[some] @ query
-        sums = (sum(map(int.__mul__, r, query)) for r in self.rows[some].tolist())
+            plain = page.plain if keep is None else page.plain[keep]
+            self.computed += len(plain)
+            return plain @ query
+        rows = self.rows[page.rows if keep is None else page.rows[keep]]
+        self.computed += len(rows)
+        sums = (sum(map(int.__mul__, r, query)) for r in rows.tolist())
         return np.array([max(-_LONG - 1, min(_LONG, s)) for s in sums], object)
 
     def search(self, query: np.ndarray, name: int, nearest: int, least: float = -np.inf) -> list[tuple[int, int]]:
@@ -133,33 +138,33 @@ class Tree:
             nearer, _, page, parent = heapq.heappop(queue)
             if nearer > limit:
                 break
-            rows, radii, keep = page.rows, page.radii, None
+            keep = None
             if parent is not None:
                 stored = np.abs(page.away - parent)
-                keep = (stored if radii is None else stored - radii) <= limit
-                if not keep.all():
-                    rows = rows[keep]
-                    radii = radii if radii is None else radii[keep]
-                else:
+                keep = (stored if page.radii is None else stored - page.radii) <= limit
+                if keep.all():
                     keep = None
-            scores = self._scores(rows, asked, exact)
+            scores = self._scores(page, keep, asked, exact)
             if page.children is None:
-                last = -best[-1][0] if len(best) == nearest else least
-                last = max(last, least)
-                for at in np.flatnonzero(scores >= last):
+                last = max(least, -best[-1][0]) if len(best) == nearest else least
+                better = np.flatnonzero(scores >= last)
+                if not len(better):
+                    continue
+                if len(better) > nearest + 1:  # one may be the query's own row
+                    better = better[scores[better] >= np.sort(scores[better])[-nearest - 1]]
+                rows = page.rows if keep is None else page.rows[keep]
+                for at in better:
                     score = int(scores[at])
                     best.extend((-score, int(i)) for i in self.ids[rows[at]] if i != name)
-                if len(best) > nearest:
-                    best.sort()
-                    del best[nearest:]
-                elif len(best) == nearest:
-                    best.sort()
+                best.sort()
+                del best[nearest:]
                 if len(best) == nearest:
                     limit = min(limit, float(distance(-best[-1][0])) + slack)
             else:
+                radii = page.radii if keep is None else page.radii[keep]
+                children = page.children if keep is None else [page.children[k] for k in np.flatnonzero(keep)]
                 away = distance(scores)
                 bound = np.maximum(away - radii, 0.0)
-                children = page.children if keep is None else [page.children[k] for k in np.flatnonzero(keep)]
                 for k in np.flatnonzero(bound <= limit):
                     heapq.heappush(queue, (float(bound[k]), made, children[k], float(away[k])))
                     made += 1
