@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from subjectseries.functions.predicates import RequestError, after_key, ts_lit
 
 DEFAULT_PAGE, MAX_PAGE = 100, 500
+TOO_LARGE = "RESULT_TOO_LARGE"
 
 
 def list_order(df: DataFrame, time: str, ident: str) -> DataFrame:
@@ -61,24 +64,43 @@ def continuation(
 
 
 def enforce_cap(
-    df: DataFrame, cap: int | None, what: str, keys: Sequence[str] = ("subject_id",)
+    df: DataFrame,
+    cap: int | None,
+    what: str,
+    keys: Sequence[str] = ("subject_id",),
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Fail when a subject exceeds the cap; rows are never cut. ``None`` switches it off.
 
-    The check is part of the plan: rows are counted by subject in each task first, and the
-    subjects above the cap, if any, make the filter fail, whichever columns are read.
+    The check is part of the plan and needs one scan: rows are numbered by subject (in
+    ``order``, if given), the limit of ``cap + 1`` is applied in every task before the
+    shuffle, and a row numbered above the cap makes any read fail. The failure is an error
+    of the job; :func:`reading` turns it into a :class:`RequestError`.
     """
     if cap is None:
         return df
-    over = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > cap)
-    return within_cap(df.join(over, list(keys), "left"), F.col("_rows"), cap, what).select(*df.columns)
+    number = Window.partitionBy(*keys).orderBy(*(order or keys))
+    ranked = df.withColumn("_row", F.row_number().over(number)).filter(F.col("_row") <= cap + 1)
+    return within_cap(ranked, F.col("_row"), cap, what).select(*df.columns)
+
+
+@contextmanager
+def reading():
+    """Around a read of a capped result: a cap that fails is a ``RequestError`` for the caller."""
+    try:
+        yield
+    except Exception as error:
+        found = re.search(rf"{TOO_LARGE}: ([^\n]*? rows)", str(error))
+        if found is None:
+            raise
+        raise RequestError(TOO_LARGE, found.group(1)) from error
 
 
 def within_cap(df: DataFrame, count: Column, cap: int | None, what: str) -> DataFrame:
     """``df``, failing on any read of it that meets a row whose ``count`` is above the cap."""
     if cap is None:
         return df
-    message = F.lit(f"RESULT_TOO_LARGE: {what}: a subject has more than {cap} rows")
+    message = F.lit(f"{TOO_LARGE}: {what}: a subject has more than {cap} rows")
     return df.filter(F.when(count > cap, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 

@@ -209,9 +209,8 @@ def glucose_series(
             F.col("sample_time").alias("timestamp"),
             round1("value_mg_dl").alias("value_mg_dl"),
         )
-        return paging.enforce_cap(points, max_points, "raw series").orderBy(
-            "subject_id", "timestamp"
-        )
+        capped = paging.enforce_cap(points, max_points, "raw series", order=["timestamp"])
+        return capped.orderBy("subject_id", "timestamp")
     buckets = aggregates.with_totals(
         aggregates.rollup(rows, "sample_time", "value_mg_dl", resolution)
     )

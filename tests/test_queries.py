@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import T0, minutes
 from subjectseries.functions.predicates import RequestError
+from subjectseries.operators import paging
 from subjectseries.plans import queries as Q
 
 G = "subject_id string, source string, source_sample_id string, sample_time timestamp, value_mg_dl decimal(10,3), deleted_at timestamp"
@@ -42,10 +43,12 @@ def test_buckets_and_tombstones(bucket_rows, resolution, first, mean, n):
 
 
 def test_point_cap_fails_whole(bucket_rows):
-    with pytest.raises(RequestError):
-        Q.glucose_series(bucket_rows, DAY0, DAY1, "raw", max_points=3)
-    with pytest.raises(Exception, match="RESULT_TOO_LARGE"):
-        Q.glucose_series(bucket_rows, DAY0, DAY1, "15m", max_points=1).collect()
+    for resolution, cap in (("raw", 3), ("15m", 1)):
+        capped = Q.glucose_series(bucket_rows, DAY0, DAY1, resolution, max_points=cap)
+        with pytest.raises(RequestError, match="more than"), paging.reading():
+            capped.collect()
+    with pytest.raises(ZeroDivisionError), paging.reading():
+        1 / 0
     assert Q.glucose_series(bucket_rows, DAY0, DAY1, "raw", max_points=4).count() == 4
 
 
