@@ -56,6 +56,46 @@ def rollup(df: DataFrame, time: str, value: str, resolution: str) -> DataFrame:
     )
 
 
+def rollup_parts(df: DataFrame, time: str, value: str, resolution: str) -> DataFrame:
+    """What :func:`rollup` needs of some of the rows: parts of one bucket add up."""
+    width = RESOLUTION_SECONDS[resolution] * US_PER_SECOND
+    return (
+        df.groupBy("subject_id", bucket_start_us(epoch_us(time), width).alias("_bucket"))
+        .agg(
+            F.count(F.lit(1)).alias("sample_count"),
+            F.count(value).alias("_values"),
+            F.sum(value).cast("decimal(20,3)").alias("_sum"),
+            F.min(value).cast("decimal(10,3)").alias("min_value"),
+            F.max(value).cast("decimal(10,3)").alias("max_value"),
+            F.max(time).alias("_fresh"),
+        )
+        .select("subject_id", from_us("_bucket").alias("bucket_start"), "sample_count", "_values", "_sum", "min_value", "max_value", "_fresh")
+    )
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """One part per bucket; the order in which parts came does not matter."""
+    sums = [F.sum(c).alias(c) for c in ("sample_count", "_values")]
+    total = F.sum("_sum").cast("decimal(20,3)").alias("_sum")
+    ends = [F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.max("_fresh").alias("_fresh")]
+    return parts.groupBy("subject_id", "bucket_start").agg(*sums, total, *ends)
+
+
+def finished_rollup(parts: DataFrame, resolution: str) -> DataFrame:
+    """The columns of :func:`rollup` from merged parts."""
+    width = RESOLUTION_SECONDS[resolution] * US_PER_SECOND
+    return parts.select(
+        "subject_id",
+        "bucket_start",
+        from_us(epoch_us("bucket_start") + F.lit(width)).alias("bucket_end"),
+        "sample_count",
+        "min_value",
+        "max_value",
+        (F.col("_sum") / F.col("_values")).alias("mean_value"),
+        "_fresh",
+    )
+
+
 def with_totals(buckets: DataFrame, count: str = "sample_count", fresh: str = "_fresh") -> DataFrame:
     """Attach the subject's totals to each bucket (after aggregation, so few rows)."""
     whole = Window.partitionBy("subject_id")

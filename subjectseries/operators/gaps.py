@@ -84,6 +84,52 @@ def segments(
     return final.unionByName(stitched)
 
 
+def merge_segments(
+    parts: DataFrame, max_gap_minutes: float, width_us: int = DEFAULT_CHUNK_US
+) -> DataFrame:
+    """Segments of rows that came in several batches, from the segments of each batch.
+
+    ``parts`` has ``subject_id, start_us, end_us, n``; parts that overlap, or lie no further
+    apart than the gap, are one segment. In order of their starts, the segment that is open is
+    the one with the latest end, so what a time chunk needs of the earlier ones is that end,
+    and only a chunk's first and last segment can go on in another.
+    """
+    limit = minutes_to_us(max_gap_minutes)
+    placed = with_chunk(parts, "start_us", width_us)
+    before = Window.partitionBy("subject_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    reach = placed.groupBy("subject_id", "chunk").agg(F.max("end_us").alias("_end"))
+    reach = reach.withColumn("_reach", F.max("_end").over(before)).drop("_end")
+    by_chunk = Window.partitionBy("subject_id", "chunk")
+    ordered = by_chunk.orderBy("start_us", "end_us")
+    latest = F.greatest("_reach", F.max("end_us").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.coalesce(F.col("start_us") - F.col("_latest") > limit, F.lit(True))
+    local = (
+        placed.join(reach, ["subject_id", "chunk"])
+        .withColumn("_latest", latest)
+        .withColumn("_opens", opens.cast("int"))
+        .withColumn("_run", F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("subject_id", "chunk", "_run")
+        .agg(
+            F.max("_opens").alias("_opens"),
+            F.min("start_us").alias("start_us"),
+            F.max("end_us").alias("end_us"),
+            F.sum("n").alias("n"),
+        )
+        .withColumn("_last", F.lead("_run").over(by_chunk.orderBy("_run")).isNull())
+    )
+    is_edge = (F.col("_opens") == 0) | F.col("_last")
+    final = local.filter(~is_edge).select("subject_id", "start_us", "end_us", "n")
+    along = Window.partitionBy("subject_id").orderBy("chunk", "_run").rowsBetween(Window.unboundedPreceding, 0)
+    stitched = (
+        local.filter(is_edge)
+        .withColumn("_seg", F.sum("_opens").over(along))
+        .groupBy("subject_id", "_seg")
+        .agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"))
+        .drop("_seg")
+    )
+    return final.unionByName(stitched)
+
+
 def out_of_order(
     df: DataFrame,
     sequence: str,

@@ -6,14 +6,13 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from subjectseries.operators.upsert import classify, keep_last, next_version, upsert_sources
 from subjectseries.schemas import ENTITIES, IDENTITY, MEANINGFUL, SOURCES, STORED
 from subjectseries.session import materialize, scratch_dir
 from subjectseries.sources import export
-from subjectseries.sources.store import VersionedStore
+from subjectseries.sources.store import MOST_DELTAS, VersionedStore
 
 OUTCOMES = ("inserted", "updated", "unchanged", "rejected")
 # Column prefixes of the audit row.
@@ -122,16 +121,26 @@ def audit_rows(envelope: DataFrame, counts: DataFrame, rejected: DataFrame) -> D
     )
 
 
-def validate_all(envelope: DataFrame, entities: Iterable[str] = ENTITIES) -> dict[str, DataFrame]:
-    """Validated records per entity. Documents are parsed once: the exploded records are
-    written to scratch and each entity reads its own partition."""
+def validate_all(
+    envelope: DataFrame, entities: Iterable[str] = ENTITIES, records: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Validated records per entity. Documents are parsed once: the exploded records (``records``
+    where the source has split them already) are written to scratch and each entity reads its
+    own partition."""
     path = scratch_dir(envelope.sparkSession, "records")
-    all_records = export.records(envelope)
+    all_records = export.records(envelope) if records is None else records
     all_records.write.partitionBy("entity").parquet(path)
     stored = envelope.sparkSession.read.schema(all_records.schema).parquet(path)
     return {entity: export.validated(stored, entity) for entity in entities}
 
 
+def batch_digest(envelope: DataFrame) -> str:
+    """A short name of the batch's documents: it depends on them alone, not on their order."""
+    one = F.xxhash64("subject_id", "document_id", "payload_sha256").cast("decimal(38,0)")
+    row = export.document_hash(envelope).agg(F.count("*").alias("n"), F.sum(one).alias("total")).first()
+    return f"{row['n']}-{int(row['total'] or 0) % (1 << 64):016x}"
+
+
 def ingest(
     spark: SparkSession,
     documents: DataFrame,
@@ -143,13 +152,30 @@ def ingest(
 
     Each table is committed on its own; replaying a batch changes nothing. The audit, the
     counts and all rejections are written before the first commit, and a batch that is
-    retried under its label keeps those of its first run, whose commits it completes.
+    retried under its label keeps those of its first run, whose commits it completes. Without
+    a label, a batch is told by its documents and the version it found: another batch after one
+    that died has reports of its own.
     Returns the audit rows, the counts, the rejections and the refused documents.
     """
+    return ingest_envelopes(spark, export.envelopes(documents), store, now=now, batch_label=batch_label)
+
+
+def ingest_envelopes(
+    spark: SparkSession,
+    envelope: DataFrame,
+    store: VersionedStore,
+    records: DataFrame | None = None,
+    now: Column | None = None,
+    batch_label: str | None = None,
+) -> dict[str, DataFrame]:
+    """:func:`ingest` for documents whose envelopes (and perhaps records) are read already.
+
+    Of every stored table only the partitions that hold keys of the batch are read.
+    """
     now = F.current_timestamp() if now is None else now
-    envelope = export.envelopes(documents)
     valid = {
-        entity: materialize(df, f"valid-{entity}") for entity, df in validate_all(envelope).items()
+        entity: materialize(df, f"valid-{entity}")
+        for entity, df in validate_all(envelope, records=records).items()
     }
     catalog = store.read("sources", SOURCES, ("subject_id", "source", "source_name"))
     seen = reduce(
@@ -159,20 +185,22 @@ def ingest(
     merged_catalog = materialize(upsert_sources(catalog, seen), "sources")
     classified: dict[str, DataFrame] = {}
     for entity in ENTITIES:
-        target = store.read(entity, STORED[entity])
-        outcome = materialize(
-            classify_batch(target, batch_rows(valid[entity]), entity), f"classified-{entity}"
-        )
-        classified[entity] = outcome
-    label = batch_label if batch_label is not None else f"v{store.version('sources') + 1:08d}"
+        rows = batch_rows(valid[entity])
+        target = store.read(entity, STORED[entity], needed=export.good(valid[entity]))
+        classified[entity] = materialize(classify_batch(target, rows, entity), f"classified-{entity}")
+    label = batch_label
+    if label is None:
+        label = f"v{store.version('sources') + 1:08d}-{batch_digest(envelope)}"
     rejected = export.rejections(valid)
     counts = outcome_counts(valid, classified)
     reports = {"counts": counts, "rejections": rejected, "audit": audit_rows(envelope, counts, rejected)}
-    kept = {name: _kept(spark, f"{store.root}/{_FOLDERS[name]}/batch={label}", df) for name, df in reports.items()}
+    kept = {name: _kept(store, _FOLDERS[name], label, df) for name, df in reports.items()}
     for entity, outcome in classified.items():
-        rows = delta(outcome, entity, now)
         if not outcome.filter(F.col("outcome").isin("inserted", "updated")).limit(1).isEmpty():
-            store.commit(entity, rows, "delta" if store.version(entity) else "base")
+            kind = "delta" if store.version(entity) else "base"
+            store.commit(entity, delta(outcome, entity, now), kind, IDENTITY)
+            if store.deltas(entity) > MOST_DELTAS:
+                store.compact(entity, STORED[entity])
     store.commit("sources", merged_catalog, "base")
 
     return {
@@ -186,20 +214,13 @@ def ingest(
 _FOLDERS = {"audit": "batches", "counts": "batch_counts", "rejections": "batch_rejections"}
 
 
-def _kept(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+def _kept(store: VersionedStore, folder: str, label: str, df: DataFrame) -> DataFrame:
     """``df`` as the first complete run wrote it; a run that died while writing is replaced."""
-    if not _complete(spark, path):
+    path, mark = f"{store.root}/{folder}/batch={label}", f"{folder}/{label}"
+    if not store.marked(mark):
         df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    """Whether a write below ``path`` came to its end, which leaves a mark."""
-    try:
-        spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
-    except AnalysisException:  # no such file
-        return False
-    return True
+        store.mark(mark)
+    return store.spark.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["IDENTITY", "audit_rows", "batch_rows", "classify_batch", "delta", "ingest", "outcome_counts", "validate_all"]
+__all__ = ["IDENTITY", "audit_rows", "batch_rows", "classify_batch", "delta", "ingest", "ingest_envelopes", "outcome_counts", "validate_all"]

@@ -1,45 +1,36 @@
-"""M1-M3: streaming twins, run over what is available and compared with batch SQL."""
+"""M1-M3: streaming twins, run over what is available and compared with batch SQL.
+
+The samples arrive as several files, dealt by hash, one file in a micro-batch: most rows of
+every file after the first are older than what has been seen.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from subjectseries_queries.base import query, us
 from subjectseries_queries.ingest_queries import DOCS, documents
 from subjectseries.schemas import STORED
 from subjectseries.session import scratch_dir
 from subjectseries.sources.store import VersionedStore
-from subjectseries.streaming import run_available, stream_ingest, stream_rollup, stream_segments
-
-EVENTS = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("props", T.StringType()),
-    ]
+from subjectseries.streaming import (
+    maintain_rollup,
+    maintain_segments,
+    rollup_so_far,
+    segments_so_far,
+    stream_ingest,
 )
 
-
-def _stream(t):
-    # The source takes a folder; a glob picks the one table in it.
-    raw = t.spark.readStream.schema(EVENTS).parquet(f"{t.dir}/events.parque[t]")
-    return raw.select(
-        F.col("user_id").cast("string").alias("subject_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("value").cast("decimal(10,3)").alias("value"),
-    )
+SAMPLES = "subject_id string, ts timestamp, value decimal(10,3)"
+FILES = 4
 
 
-def _closed(t, result, label: str):
-    """Run to the end and read the results the watermark has closed."""
-    root = scratch_dir(t.spark, label)
-    schema = result.schema
-    run_available(result, f"{root}/out", f"{root}/checkpoint")
-    return t.spark.read.schema(schema).parquet(f"{root}/out")
+def _arriving(t, root: str):
+    """A stream of the samples and the store that its results go to."""
+    samples = t.events.select("subject_id", "ts", F.col("value").cast("decimal(10,3)").alias("value"), "event_id")
+    samples.repartition(FILES, "event_id").drop("event_id").write.parquet(f"{root}/inbox")
+    stream = t.spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", 1).parquet(f"{root}/inbox")
+    return stream, VersionedStore(t.spark, f"{root}/store")
 
 
 @query(
@@ -65,18 +56,17 @@ def ingest_stream(t):
 
 def _rollup_sql(seconds: int) -> str:
     width = seconds * 1_000_000
-    return f"""WITH top AS (SELECT max(us) - 3600000000 AS wm FROM ev)
-SELECT subject_id, us - us % {width} AS bucket_start, count(*) AS n, CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi,
+    return f"""SELECT subject_id, us - us % {width} AS bucket_start, count(*) AS n, CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi,
   CAST(sum(v) * 1000 AS BIGINT) / (count(*) * 1000) AS mean
-FROM ev, top WHERE us - us % {width} + {width} <= wm - wm % 1000 GROUP BY 1, 2"""
+FROM ev GROUP BY 1, 2"""
 
 
 def _rollup(resolution: str):
     def run(t):
-        out = _closed(
-            t, stream_rollup(_stream(t), "ts", "value", resolution, "1 hour"), f"rollup-{resolution}"
-        )
-        return out.select(
+        root = scratch_dir(t.spark, f"rollup-{resolution}")
+        stream, store = _arriving(t, root)
+        maintain_rollup(stream, "ts", "value", resolution, store, f"{root}/checkpoint").awaitTermination()
+        return rollup_so_far(store, resolution).select(
             "subject_id",
             us("bucket_start"),
             F.col("sample_count").alias("n"),
@@ -97,16 +87,12 @@ for _name, _seconds in (("5m", 300), ("15m", 900), ("hourly", 3600)):
     """WITH f AS (SELECT subject_id, us, CASE WHEN us - lag(us) OVER w > 43200000000 THEN 1 ELSE 0 END AS b
   FROM ev WINDOW w AS (PARTITION BY subject_id ORDER BY us)),
 g AS (SELECT *, sum(b) OVER (PARTITION BY subject_id ORDER BY us) AS seg FROM f),
-s AS (SELECT subject_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM g GROUP BY subject_id, seg),
-top AS (SELECT max(us) - 3600000000 AS wm FROM ev)
-SELECT subject_id, start_us, end_us, n, (end_us - start_us) / 6e7 AS minutes FROM s, top WHERE end_us + 43200000000 <= wm - wm % 1000""",
+s AS (SELECT subject_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM g GROUP BY subject_id, seg)
+SELECT subject_id, start_us, end_us, n, (end_us - start_us) / 6e7 AS minutes FROM s""",
 )
 def segments_stream(t):
-    out = _closed(t, stream_segments(_stream(t), "ts", 720, "1 hour"), "segments")
-    return out.select(
-        "subject_id",
-        us("start_timestamp_utc", "start_us"),
-        us("end_timestamp_utc", "end_us"),
-        F.col("observation_count").alias("n"),
-        F.col("elapsed_minutes").alias("minutes"),
-    )
+    root = scratch_dir(t.spark, "segments")
+    stream, store = _arriving(t, root)
+    maintain_segments(stream, "ts", 720, store, f"{root}/checkpoint").awaitTermination()
+    minutes = ((F.col("end_us") - F.col("start_us")) / 60_000_000).alias("minutes")
+    return segments_so_far(store, 720).select("subject_id", "start_us", "end_us", "n", minutes)
