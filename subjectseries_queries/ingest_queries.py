@@ -13,7 +13,9 @@ from subjectseries.functions.scalars import local_date
 from subjectseries.operators import upsert
 from subjectseries.plans import ingest as I
 from subjectseries.schemas import ENTITIES, MEANINGFUL, STORED
+from subjectseries.session import scratch_dir
 from subjectseries.sources import export
+from subjectseries.sources.large_export import read_large_documents
 
 
 # --- the documents --------------------------------------------------------------
@@ -418,3 +420,43 @@ def batch_audit(t):
     return out.withColumns(
         {"data_start": F.unix_micros("data_start"), "data_end": F.unix_micros("data_end")}
     ).drop("schema_version", "exported_at")
+
+
+@query(
+    "s1_large_documents",
+    """SELECT event_type AS document, 'glucose_samples' AS entity, k AS index, sample_id, cents FROM (
+  SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, id AS sample_id, cents FROM ev
+  UNION ALL SELECT DISTINCT event_type, 0, NULL, NULL FROM ev)""",
+)
+def large_documents(t):
+    """One file per event type, written row by row, and read back in pieces."""
+    path = scratch_dir(t.spark, "large-documents")
+    head = (
+        '{"schema_version": 1, "exported_at": "2024-02-01T00:00:00Z", "data_start": "2024-01-01T00:00:00Z", '
+        '"extra": [{"a": "},{"}, [1, 2]], "data_end": "2024-02-01T00:00:00Z", "glucose_samples": ["no, object"'
+    )
+    lines = t.events.select("event_type", "event_id", "source_sample_id", "cents").select(
+        "event_type",
+        "event_id",
+        F.concat(
+            F.lit(', {"source_sample_id": "'),
+            "source_sample_id",
+            F.lit(r'", "metadata": {"note": "a \"quoted\", ]}", "list": [1, {}]}, "value": '),
+            F.col("cents").cast("string"),
+            F.lit("}"),
+        ).alias("value"),
+    )
+    types = t.events.select("event_type").distinct()
+    ends = types.select("event_type", F.explode(F.array(F.lit(-1), F.lit(2**62))).alias("event_id")).withColumn(
+        "value", F.when(F.col("event_id") < 0, head).otherwise(F.lit('], "meal_events": []}'))
+    )
+    written = lines.unionByName(ends).repartition("event_type").sortWithinPartitions("event_type", "event_id")
+    written.drop("event_id").write.partitionBy("event_type").text(path)
+    found = read_large_documents(t.spark, path)
+    return found.records.select(
+        F.regexp_extract("document_id", "event_type=([^/]*)", 1).alias("document"),
+        "entity",
+        F.col("index").cast("long").alias("index"),
+        F.try_variant_get("record", "$.source_sample_id", "string").alias("sample_id"),
+        F.try_variant_get("record", "$.value", "bigint").alias("cents"),
+    )
