@@ -9,7 +9,8 @@ shuffled, and a task that is run again makes the same rows.
 Edge cases: a null or empty text is a document of the end id alone; a document longer than a
 sequence is cut into full pieces and a shorter last one; repeated rows are packed once each, so
 their (doc_id, piece) repeats; null ids are kept; an empty table gives no rows; further columns
-are ignored. The word cache of the tokenizer is bounded and only saves time.
+are ignored. The caches of the tokenizer are bounded and only save time;
+a long text is split into words piece by piece.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,11 +31,15 @@ from subjectseries.llm.common import col, small_batches
 SEQUENCE = 2048
 OPEN = 4096
 END_ID = 0
+ID_BYTES = 4
 SCHEMA = (
     "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 )
-#: Words kept by the tokenizer's cache in each Python worker.
-CACHED_WORDS = 800_000
+#: Words and parts of words kept by the tokenizer's caches in each Python worker, twice as many at most.
+CACHED_WORDS = 250_000
+CACHED_PARTS = 150_000
+#: Characters of a text that are split into words at a time.
+TEXT_PIECE = 1 << 20
 
 #: Python splits words at these, the tokenizer does not.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
@@ -43,14 +48,44 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: its own if it prints."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in prints else next(others) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
+class Recent(dict):
+    """Values made on demand; of two generations of at most ``size`` the older is dropped."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 32:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordTokenizer:
     """Ids of the word tokenizer, which drops white space and so works word by word.
 
-    Words of plain Latin letters, digits and signs are cut as the vocabulary file says and their
-    parts cached; any other word goes to the tokenizer as it is.
+    Ids are little-endian unsigned 32-bit numbers. Words of plain Latin letters, digits and signs
+    are cut as the vocabulary file says and their parts cached; any other word goes to the
+    tokenizer as it is.
     """
 
-    def __init__(self, path: str | None = None, cached: int = CACHED_WORDS):
+    def __init__(self, path: str | None = None, words: int = CACHED_WORDS, parts: int = CACHED_PARTS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,48 +93,39 @@ class WordTokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.words, self.parts = Recent(self._word, words), Recent(self._part, parts)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _direct(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        if (ids := self.parts.get(part)) is None:
-            if len(self.parts) >= self.cached:
-                self.parts.clear()
-            if part.isascii() and part.isalnum():
-                ids = tuple(t.id for t in self.tokenizer.model.tokenize(part))
-            else:
-                ids = self._direct(part)
-            self.parts[part] = ids
-        return ids
-
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         if not _PLAIN.fullmatch(word):
             return self._direct(word)
-        parts = _PARTS.findall(word.lower())
-        if len(parts) == 1:
-            return self._part(parts[0])
-        return tuple(chain.from_iterable(map(self._part, parts)))
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
 
-    def ids(self, text: str) -> array:
+    def _piece(self, text: str) -> bytes:
         if any(s in text for s in self.special) or any(c in text for c in _NO_SPACE):
-            return array("I", self._direct(text))
-        words, parts = self.words, text.split()
-        found = list(map(words.get, parts))
-        if None in found:
-            if len(words) >= self.cached:
-                words.clear()
-            for k, ids in enumerate(found):
-                if ids is None:
-                    word = parts[k]
-                    found[k] = self._word(word)
-                    if len(word) <= 32:
-                        words[word] = found[k]
-        return array("I", list(chain.from_iterable(found)))
+            return self._direct(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+    def ids(self, text: str) -> bytes:
+        if len(text) <= TEXT_PIECE:
+            return self._piece(text)
+        parts, start = [], 0
+        while start < len(text):
+            stop = text.find(" ", start + TEXT_PIECE)
+            stop = len(text) if stop < 0 else stop
+            parts.append(self._piece(text[start:stop]))
+            start = stop
+        return b"".join(parts)
 
 
 _tokenizers: dict[str | None, WordTokenizer] = {}
@@ -164,16 +190,17 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).ids
+        end = END_ID.to_bytes(ID_BYTES, "little")
         bins, base = BestFit(size, places), TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[tuple] = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(value or "")
-                ids.append(END_ID)
-                for n, start in enumerate(range(0, len(ids), size)):
-                    part = ids[start : start + size]
-                    which, offset = bins.place(len(part))
-                    out.append((key, n, start, len(part), part.tobytes(), base + which, offset))
+                ids = encode(value or "") + end
+                for n, start in enumerate(range(0, len(ids) // ID_BYTES, size)):
+                    part = ids[ID_BYTES * start : ID_BYTES * (start + size)]
+                    length = len(part) // ID_BYTES
+                    which, offset = bins.place(length)
+                    out.append((key, n, start, length, part, base + which, offset))
                 if len(out) >= 2000:
                     yield _rows(out)
                     out = []

@@ -89,7 +89,7 @@ def test_archives_round_trip(spark):
 
 
 def test_word_tokenizer_equals_the_library():
-    words = packing.WordTokenizer(cached=50)
+    words = packing.WordTokenizer(words=50, parts=20)
     texts = [prose(k, 60) for k in range(20)]
     texts += ["don't I'M <|endoftext|> x", "a\x1cb c d　e", "Ünï_code 12³ ½ naïve it's _x_ 'llama", "é ́x 中文", "ΣΑΣ İ", "", " \n"]
     for text in texts:
