@@ -8,11 +8,11 @@ groups are filtered by size and position, and members are verified on their whol
 
 Only the classes are wanted, so not all pairs of a group of copies are made. In star rounds,
 each group is tried against one leader per shared shingle, and members against the first of
-their group. What these leave apart is then joined in full, but only across classes: a pair is
-left untried only if its texts are in one class already. Candidates pass a filter that cannot
-reject a similar pair: the parity bits of two sets bound how much they share. The sets of those
-that pass are read again and verified; if a candidate that had counted as a link falls, the
-pairs that it had hidden are tried too. No link between classes is lost.
+their group; then, as long as that still links classes, against leaders of other classes. What
+these leave apart is joined in full, but only across classes: a pair is left untried only if
+its texts are in one class already, by links that are verified. Candidates pass a filter that
+cannot reject a similar pair: the parity bits of two sets bound how much they share. The sets
+of those that pass are read again and verified. No link between classes is lost.
 
 Hot shingles are dealt over salted lists whose leaders are tried against each other.
 
@@ -44,6 +44,10 @@ PERCENT = 80
 BUCKET_BITS = 18
 #: A list of more rows than this is dealt over several.
 LONG_LIST = 20_000
+#: Rounds with leaders of other classes before the rest is joined in full, and the share of the
+#: classes (one in so many) that a round has to link for another one to follow.
+MORE_ROUNDS = 4
+FEW = 50
 #: Bits of the filter that says which documents' sets are needed; false hits only cost time.
 FILTER_BITS = 26
 
@@ -208,6 +212,13 @@ def _fits(n: Column, i: Column, m: Column, j: Column) -> Column:
     )
 
 
+def _may_fit(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Sizes and positions that allow the similarity; shingles before this one may be shared too."""
+    alike = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    most = F.least(i, j) + F.least(n - i, m - j)
+    return alike & ((100 + PERCENT) * most >= PERCENT * (n + m))
+
+
 def _filter_bits(ids: DataFrame) -> np.ndarray:
     """A bit for each of two hashes of the ids, set in tasks and merged by slice."""
     slices = 64
@@ -311,10 +322,7 @@ def _stars(postings: DataFrame) -> DataFrame:
     far = heads.withColumn("lead", first).select("gid", "n", "pos", "lead")
     # A leader seldom meets a group at the first shingle that they share, so the position counts
     # in full: what comes before it may be shared too.
-    n, m, i, j = F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")
-    alike = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-    most = F.least(i, j) + F.least(n - i, m - j)
-    fits = alike & ((100 + PERCENT) * most >= PERCENT * (n + m))
+    fits = _may_fit(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))
     return (
         near.unionByName(far)
         .where(fits & (F.col("gid") != F.col("lead.gid")))
@@ -383,24 +391,19 @@ def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
         .unionByName(inside.select(F.col("node").alias("a"), F.col("head").alias("b")))
         .distinct()
     )
-    open_pairs = materialize(_plausible(_ordered(stars).distinct(), nodes), "join-candidates")
-    proven = done = open_pairs.limit(0)
-    while True:
-        # Candidates count as links first, so that what they connect need not be tried in full.
-        classes = components(proven.unionByName(open_pairs))
-        rest = _rest(postings, nodes, classes).join(done, ["a", "b"], "left_anti")
-        rest = materialize(_plausible(rest, nodes), "join-candidates")
-        tried = open_pairs.unionByName(rest).distinct()
-        found = materialize(verified(tried, _sets_of(docs, nodes, tried)), "join-links")
-        proven = proven.unionByName(found)
-        done = done.unionByName(tried)
-        if open_pairs.join(found, ["a", "b"], "left_anti").isEmpty():
-            break
-        # Some fell: what they had connected may hide links that are still to be tried.
-        rest = _rest(postings, nodes, components(proven)).join(done, ["a", "b"], "left_anti")
-        open_pairs = materialize(_plausible(rest, nodes), "join-candidates")
-        if open_pairs.isEmpty():
+    tried = materialize(_ordered(stars).distinct(), "join-candidates")
+    proven = _links(tried, docs, nodes)
+    for k in range(MORE_ROUNDS):
+        rows, labelled = _open_lists(postings, nodes, components(proven))
+        fresh_pairs = _leaders(rows, labelled, k).join(tried, ["a", "b"], "left_anti")
+        fresh_pairs = materialize(fresh_pairs, "join-candidates")
+        found = _links(fresh_pairs, docs, nodes)
+        tried, proven = tried.unionByName(fresh_pairs), proven.unionByName(found)
+        if FEW * found.count() < labelled.select("comp").distinct().count():
             break
+    rows, labelled = _open_lists(postings, nodes, components(proven))
+    rest = materialize(_rest(rows, labelled).join(tried, ["a", "b"], "left_anti"), "join-candidates")
+    proven = proven.unionByName(_links(rest, docs, nodes))
     classes = components(proven)
 
     linked = _classed(nodes.select("node", "first"), classes)
@@ -455,11 +458,18 @@ def _classed(frame: DataFrame, classes: DataFrame, node: str = "node", out: str
     return frame.join(names, node, "left").withColumn(out, F.coalesce(out, node))
 
 
-def _rest(postings: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """All candidate pairs of nodes in different classes."""
-    labelled = materialize(_classed(nodes, classes).select("gid", "node", "comp"), "join-classed")
-    kinds = labelled.select("gid", "comp").distinct()
-    rows = postings.join(kinds, "gid").select("token", "gid", "n", "pos", "comp")
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs of nodes that reach the similarity."""
+    likely = materialize(_plausible(pairs, nodes), "join-likely")
+    return materialize(verified(likely, _sets_of(docs, nodes, likely)), "join-links")
+
+
+def _open_lists(postings: DataFrame, nodes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of lists that hold several classes, a row for each class of a group; and the
+    class of every node whose group is in them or holds several classes itself."""
+    named = _classed(nodes, classes).select("gid", "node", "n", "comp")
+    kinds = named.select("gid", "comp").distinct()
+    rows = postings.join(kinds, "gid").select("token", "salt", "gid", "n", "pos", "comp")
     several = (
         rows.groupBy("token")
         .agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
@@ -467,6 +477,34 @@ def _rest(postings: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFram
         .select("token")
     )
     rows = materialize(rows.join(several, "token", "left_semi"), "join-rest")
+    mixed = kinds.groupBy("gid").count().where("count > 1").select("gid")
+    wanted = rows.select("gid").unionByName(mixed).distinct()
+    return rows, materialize(named.join(wanted, "gid", "left_semi"), "join-classed")
+
+
+def _leaders(rows: DataFrame, labelled: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of one node of each group and class with one leader of another class per list.
+
+    The leader is drawn by a hash of its group, the list and the turn, so a group meets a different
+    one in each of its lists: of a family that is held together by few links, others than before.
+    """
+    lists = Window.partitionBy("token", "salt")
+    drawn = F.struct(F.xxhash64("gid", "token", F.lit(turn)).alias("draw"), "n", "gid", "pos", "comp")
+    pairs = (
+        rows.withColumn("lead", F.min(drawn).over(lists))
+        .where(F.col("comp") != F.col("lead.comp"))
+        .where(_may_fit(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+        .select("gid", "comp", F.col("lead.gid").alias("gid2"), F.col("lead.comp").alias("comp2"))
+        .distinct()
+    )
+    heads = labelled.groupBy("gid", "comp").agg(F.min("node").alias("a"))
+    other = heads.toDF("gid2", "comp2", "b")
+    met = pairs.join(heads, ["gid", "comp"]).join(other, ["gid2", "comp2"]).select("a", "b")
+    return _ordered(met).distinct()
+
+
+def _rest(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """All candidate pairs of nodes in different classes."""
     other = rows.select(
         "token",
         F.col("gid").alias("gid2"),
