@@ -219,6 +219,16 @@ def _may_fit(n: Column, i: Column, m: Column, j: Column) -> Column:
     return alike & ((100 + PERCENT) * most >= PERCENT * (n + m))
 
 
+def _enough_common(common: Column, n: Column, m: Column) -> Column:
+    """Whether two sets whose prefixes share ``common`` shingles can be similar.
+
+    Of the two prefixes one ends first in the common order. What it holds of the other set lies in
+    the other prefix, so the sets share no more than that and all that follows in its own set.
+    """
+    after = F.ceil(F.greatest(n, m) * PERCENT / 100 - 1e-9) - 1
+    return (100 + PERCENT) * (common + after) >= PERCENT * (n + m)
+
+
 def _filter_bits(ids: DataFrame) -> np.ndarray:
     """A bit for each of two hashes of the ids, set in tasks and merged by slice."""
     slices = 64
@@ -395,7 +405,7 @@ def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
     proven = _links(tried, docs, nodes)
     for k in range(MORE_ROUNDS):
         rows, labelled = _open_lists(postings, nodes, components(proven))
-        fresh_pairs = _leaders(rows, labelled, k).join(tried, ["a", "b"], "left_anti")
+        fresh_pairs = _leaders(rows, k).join(tried, ["a", "b"], "left_anti")
         fresh_pairs = materialize(fresh_pairs, "join-candidates")
         found = _links(fresh_pairs, docs, nodes)
         tried, proven = tried.unionByName(fresh_pairs), proven.unionByName(found)
@@ -468,8 +478,8 @@ def _open_lists(postings: DataFrame, nodes: DataFrame, classes: DataFrame) -> tu
     """The postings of lists that hold several classes, a row for each class of a group; and the
     class of every node whose group is in them or holds several classes itself."""
     named = _classed(nodes, classes).select("gid", "node", "n", "comp")
-    kinds = named.select("gid", "comp").distinct()
-    rows = postings.join(kinds, "gid").select("token", "salt", "gid", "n", "pos", "comp")
+    kinds = named.groupBy("gid", "comp").agg(F.min("node").alias("head"))
+    rows = postings.join(kinds, "gid").select("token", "salt", "gid", "n", "pos", "comp", "head")
     several = (
         rows.groupBy("token")
         .agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
@@ -482,24 +492,20 @@ def _open_lists(postings: DataFrame, nodes: DataFrame, classes: DataFrame) -> tu
     return rows, materialize(named.join(wanted, "gid", "left_semi"), "join-classed")
 
 
-def _leaders(rows: DataFrame, labelled: DataFrame, turn: int) -> DataFrame:
+def _leaders(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of one node of each group and class with one leader of another class per list.
 
     The leader is drawn by a hash of its group, the list and the turn, so a group meets a different
     one in each of its lists: of a family that is held together by few links, others than before.
     """
     lists = Window.partitionBy("token", "salt")
-    drawn = F.struct(F.xxhash64("gid", "token", F.lit(turn)).alias("draw"), "n", "gid", "pos", "comp")
-    pairs = (
+    drawn = F.struct(F.xxhash64("gid", "token", F.lit(turn)).alias("draw"), "n", "pos", "comp", "head")
+    met = (
         rows.withColumn("lead", F.min(drawn).over(lists))
         .where(F.col("comp") != F.col("lead.comp"))
         .where(_may_fit(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-        .select("gid", "comp", F.col("lead.gid").alias("gid2"), F.col("lead.comp").alias("comp2"))
-        .distinct()
+        .select(F.col("head").alias("a"), F.col("lead.head").alias("b"))
     )
-    heads = labelled.groupBy("gid", "comp").agg(F.min("node").alias("a"))
-    other = heads.toDF("gid2", "comp2", "b")
-    met = pairs.join(heads, ["gid", "comp"]).join(other, ["gid2", "comp2"]).select("a", "b")
     return _ordered(met).distinct()
 
 
@@ -515,9 +521,16 @@ def _rest(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     groups = (
         rows.join(other, "token")
         .where("comp < comp2")
-        .where(_fits(F.col("n"), F.col("pos"), F.col("m"), F.col("j")))
-        .select("gid", "comp", "gid2", "comp2")
-        .distinct()
+        .where(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))
+        .groupBy("gid", "comp", "gid2", "comp2")
+        .agg(
+            F.count_distinct("token").alias("common"),
+            F.max(_fits(F.col("n"), F.col("pos"), F.col("m"), F.col("j"))).alias("fits"),
+            F.first("n").alias("n"),
+            F.first("m").alias("m"),
+        )
+        .where("fits")
+        .where(_enough_common(F.col("common"), F.col("n"), F.col("m")))
     )
     a = labelled.select("gid", "comp", F.col("node").alias("a"))
     b = labelled.select(F.col("gid").alias("gid2"), F.col("comp").alias("comp2"), F.col("node").alias("b"))
