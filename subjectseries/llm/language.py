@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subjectseries.llm.common import held_out, small_batches
-from subjectseries.llm.toxicity import BITS, _blocks, _letter_codes
+from subjectseries.llm.toxicity import BITS, _blocks, letter_codes
 
 SIZE = 1024
 GRAM = 3
@@ -59,7 +59,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes of ``texts`` and their counts, a row per text."""
     lowered = [f" {t.lower()} " for t in texts]
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _letter_codes()[np.where(points < 0x10000, points, 0)]
+    codes = letter_codes(points)
     ends = np.cumsum([len(t) for t in lowered])
     where = np.flatnonzero((codes > 0) | np.concatenate(([True], codes[:-1] > 0)))
     codes = codes[where]

@@ -58,6 +58,18 @@ def _letter_codes() -> np.ndarray:
     return _letters
 
 
+def letter_codes(points: np.ndarray) -> np.ndarray:
+    """The code of every code point; letters beyond the basic plane share the upper codes."""
+    codes = _letter_codes()[np.where(points < 0x10000, points, 0)]
+    far = np.flatnonzero(points >= 0x10000)
+    if len(far):
+        some, which = np.unique(points[far], return_inverse=True)
+        alpha = np.fromiter((chr(c).isalpha() for c in some.tolist()), bool, len(some))
+        high = 0x800 + ((some * np.uint32(2654435761)) >> np.uint32(21)) % 0x7FF
+        codes[far] = np.where(alpha, high, 0).astype(np.int64)[which]
+    return codes
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram codes of all texts and the text that each belongs to.
 
@@ -67,7 +79,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [t.lower() for t in texts]
     joined = " ".join(lowered) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _letter_codes()[np.where(points < 0x10000, points, 0)]
+    codes = letter_codes(points)
     ends = np.cumsum([len(t) + 1 for t in lowered])
     before = np.concatenate(([0], codes[:-1]))
     keep = (codes > 0) | (before > 0)  # letters, and the place after a word's last one

@@ -154,3 +154,10 @@ def test_toxicity_keeps_all_ngrams(spark):
     want = np.unique(np.concatenate([toxicity.grams([r.text])[0] for r in learned]))
     model = toxicity.fit(docs, labels)
     assert sum((keys >= 0).sum() for keys, _, _ in model.grams.levels) == len(want) > 1_000_000
+
+
+def test_letters_of_all_planes_have_codes():
+    text = "a\U00010330\U00020000\U00010400\U0001F600 1\u4e2d"
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    assert (toxicity.letter_codes(points) > 0).tolist() == [True, True, True, True, False, False, False, True]
+    assert len(toxicity.grams(["\U00010330\U00010331"])[0]) and language.gram_counts(["\U00010330\U00010331"])[1].sum() > 0
