@@ -1,11 +1,19 @@
-"""Operator 2: benchmark passages in documents, by shingles that item-sized windows share.
+"""Operator 2: benchmark passages in documents, by fingerprints of item-sized windows.
 
 A window has as many words as the benchmark item that it is compared with. It and the item are
 similar if the weighted Jaccard similarity of their five-word shingles, which counts
-repetitions, reaches 0.8. No radius or sample decides what is compared: the places of a text
-whose shingle an item has bound from above what a window has in common with it. Texts with too
-few such places for an item, and then windows with too few, cannot reach the similarity; all
-others are measured exactly.
+repetitions, reaches 0.8. The steps:
+
+1. The places of a text whose shingle an item has bound from above what a window has in common
+   with it. Windows that can reach the similarity by this bound get a SimHash.
+2. Every item's fingerprint is indexed in eight blocks of eight bits: for each block, the set of
+   values within two bits of the item's. Two fingerprints that differ in at most 23 bits differ
+   in at most two bits of some block, so the blocks find all windows within that radius, and
+   the whole distance is then tested.
+3. What is left is measured exactly.
+
+The bound and the blocks lose nothing; the radius may: of pairs just at the similarity it loses
+about 1 in 100,000, of closer ones fewer.
 
 Everything is DataFrame functions. The items'
 shingles are broadcast only up to a checked number of rows; beyond it the join is shuffled.
@@ -32,6 +40,12 @@ WORDS = 5
 PERCENT = 80
 #: Shingles of the benchmark that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Largest number of differing bits between the fingerprints of an item and of a similar window.
+RADIUS = 23
+_BLOCKS = 8
+_BLOCK_BITS = 8
+#: Of more differing bits than this in every block, the whole would differ in more than the radius.
+_NEAR = RADIUS // _BLOCKS
 _LANES = 0x0001000100010001
 
 
@@ -60,9 +74,7 @@ def _vote(k: int, votes: Column, shingle: Column) -> Column:
 def simhash(shingles: Column) -> Column:
     """The 64 majority bits of an array of hashes.
 
-    Votes for the bits k, k + 16, k + 32 and k + 48 are counted in the four quarters of a long.
-    Leaks are found without it, as no radius holds all windows of a similarity.
-    """
+    Votes for the bits k, k + 16, k + 32 and k + 48 are counted in the four quarters of a long.    """
     size = F.size(shingles)
     half = F.shiftright(size, 1).cast("long")
     fingerprint = F.lit(0).cast("long")
@@ -76,34 +88,106 @@ def simhash(shingles: Column) -> Column:
     return fingerprint
 
 
-def _counted(shingles: Column) -> Column:
-    """Each shingle with the number of equal ones before it, so that repetitions are distinct."""
-    return F.transform(
-        shingles,
-        lambda x, i: F.struct(
-            x.alias("hash"),
-            F.size(F.filter(F.slice(shingles, F.lit(1), i), lambda y: y == x)).alias("nth"),
+def _block(fingerprint: Column, block: Column) -> Column:
+    shift = (block * _BLOCK_BITS).cast("int")
+    return F.call_function("shiftrightunsigned", fingerprint, shift).bitwiseAND(F.lit(2**_BLOCK_BITS - 1))
+
+
+def block_index(fingerprint: Column) -> Column:
+    """The values near a fingerprint's blocks: for each block 256 bits, in four longs."""
+
+    def quarter(n: Column) -> Column:
+        value = _block(fingerprint, F.floor(n / 4))
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(63)),
+            F.lit(0).cast("long"),
+            lambda bits, bit: F.when(
+                F.bit_count(value.bitwiseXOR((n % 4) * 64 + bit)) <= _NEAR,
+                bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit)),
+            ).otherwise(bits),
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.lit(4 * _BLOCKS - 1)), quarter)
+
+
+def in_some_block(index: Column, fingerprint: Column) -> Column:
+    """Whether a block of ``fingerprint`` has a value of the index."""
+
+    def hit(block: int) -> Column:
+        value = _block(fingerprint, F.lit(block))
+        quarter = F.get(index, (4 * block + F.shiftright(value, 6)).cast("int"))
+        bit = value.bitwiseAND(F.lit(63)).cast("int")
+        return F.call_function("shiftrightunsigned", quarter, bit).bitwiseAND(F.lit(1)) == 1
+
+    return functools.reduce(Column.__or__, map(hit, range(_BLOCKS)))
+
+
+def within_radius(mine: Column, theirs: Column) -> Column:
+    return F.bit_count(mine.bitwiseXOR(theirs)) <= RADIUS
+
+
+def numbered(ordered: Column) -> Column:
+    """Hashes of the elements of a sorted array with their number among equal ones.
+
+    Repetitions become distinct, so the intersection of two such arrays counts them.
+    """
+    size = F.size(ordered)
+    first = F.filter(
+        F.sequence(F.lit(0), size - 1),
+        lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+    )
+    runs = F.transform(
+        F.arrays_zip(first.alias("at"), F.concat(F.slice(first, 2, size), F.array(size)).alias("until")),
+        lambda run: F.transform(
+            F.sequence(F.lit(1), run["until"] - run["at"]), lambda k: F.xxhash64(F.get(ordered, run["at"]), k)
         ),
     )
+    return F.when(size > 0, F.flatten(runs)).otherwise(F.array().cast("array<bigint>"))
 
 
 def items_table(benchmark: DataFrame) -> DataFrame:
-    """(item, item_id, width, shingles) of the items that are long enough; ``item`` numbers them."""
+    """(item, item_id, width, shingles, fingerprint) of the items that are long enough.
+
+    ``item`` numbers them; ``shingles`` are sorted.
+    """
     words = benchmark.select("item_id", word_hashes(F.col("text").cast("string")).alias("words"))
     return (
-        words.select("item_id", F.size("words").alias("width"), shingle_hashes(F.col("words")).alias("shingles"))
+        words.select(
+            "item_id",
+            F.size("words").alias("width"),
+            F.array_sort(shingle_hashes(F.col("words"))).alias("shingles"),
+        )
         .where(F.col("width") >= WORDS)
+        .withColumn("fingerprint", simhash(F.col("shingles")))
         .withColumn("item", F.monotonically_increasing_id())
     )
 
 
+def _index(items: DataFrame) -> DataFrame:
+    """(item, index, theirs): the blocks of the items and their numbered shingles."""
+    return items.select(
+        "item",
+        "item_id",
+        F.col("fingerprint").alias("item_fingerprint"),
+        block_index(F.col("fingerprint")).alias("index"),
+        numbered(F.col("shingles")).alias("theirs"),
+    )
+
+
 def _enough(common: Column, sizes: Column) -> Column:
     """Whether so many common shingles of two sets of ``sizes`` together reach the similarity."""
     return 100 * common >= PERCENT * (sizes - common)
 
 
-def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, item, start, shingles): the item-sized windows that may be similar to the item."""
+def _part(start: Column, width: Column) -> Column:
+    return F.slice("shingles", start + 1, width - WORDS + 1)
+
+
+def _windows(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The item-sized windows that may be similar to the item, and the texts they are of.
+
+    The windows are (key, item, start, width, fingerprint), the texts (key, shingles).
+    """
     entries = items.select("item", F.explode("shingles").alias("hash")).distinct()
     if entries.count() <= BROADCAST_ROWS:
         entries = F.broadcast(entries)
@@ -148,12 +232,19 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("most"))
         .where(_enough(F.col("most"), F.col("size") + F.least("width", "length") - (WORDS - 1)))
     )
-    return starts.join(wanted.select("key", "shingles"), "key").select(
-        "key",
-        "item",
-        "start",
-        F.slice("shingles", F.col("start") + 1, F.col("width") - WORDS + 1).alias("shingles"),
+    texts = wanted.select("key", "shingles")
+    # Written, so that no filter on a fingerprint makes it again.
+    windows = materialize(
+        starts.join(texts, "key").select(
+            "key",
+            "item",
+            "start",
+            "width",
+            simhash(_part(F.col("start"), F.col("width"))).alias("fingerprint"),
+        ),
+        "leak-windows",
     )
+    return windows, texts
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -162,15 +253,24 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``key`` is the text's md5, ``start`` and ``width`` count words.
     """
     items = materialize(items_table(benchmark), "leak-items")
-    both = _windows(docs, items).join(items.withColumnRenamed("shingles", "theirs"), "item")
-    common = F.size(F.array_intersect(_counted(F.col("shingles")), _counted(F.col("theirs"))))
-    measured = both.select(
+    index = materialize(_index(items), "leak-index")
+    windows, texts = _windows(docs, items)
+    near = (
+        windows.join(index, "item")
+        .where(in_some_block(F.col("index"), F.col("fingerprint")))
+        .where(within_radius(F.col("fingerprint"), F.col("item_fingerprint")))
+        .drop("index", "fingerprint", "item_fingerprint")
+    )
+    sorted_parts = near.join(texts, "key").withColumn(
+        "mine", F.array_sort(_part(F.col("start"), F.col("width")))
+    )
+    measured = sorted_parts.select(
         "key",
         "item_id",
         "start",
         "width",
-        common.alias("common"),
-        (F.size("shingles") + F.size("theirs")).alias("sizes"),
+        F.size(F.array_intersect(numbered(F.col("mine")), "theirs")).alias("common"),
+        (F.size("mine") + F.size("theirs")).alias("sizes"),
     )
     return (
         measured.where(_enough(F.col("common"), F.col("sizes")))

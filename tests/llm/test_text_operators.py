@@ -144,6 +144,52 @@ def test_leaks_at_the_threshold_are_all_found(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in range(300)}
 
 
+def test_blocks_find_all_fingerprints_within_the_radius(spark):
+    draw, pairs = random.Random(4), []
+    for differing in [*range(0, 40), *[decontamination.RADIUS] * 400]:
+        mine = draw.getrandbits(64)
+        theirs = mine
+        for bit in draw.sample(range(64), differing):
+            theirs ^= 1 << bit
+        pairs.append((mine - (1 << 63), theirs - (1 << 63), differing))
+    # Nothing but the blocks may lose a pair: two or three differing bits in every block.
+    flat = sum(0b11 << 8 * b for b in range(8))
+    pairs += [(0, flat, 16), (0, flat | sum(1 << 8 * b + 5 for b in range(7)), 23)]
+    frame = spark.createDataFrame(pairs, "mine long, theirs long, differing int")
+    out = frame.select(
+        "differing",
+        decontamination.in_some_block(decontamination.block_index(F.col("theirs")), F.col("mine")).alias("hit"),
+        decontamination.within_radius(F.col("mine"), F.col("theirs")).alias("near"),
+        F.expr("exists(sequence(0, 7), b -> bit_count(shiftrightunsigned(mine ^ theirs, 8 * b) & 255) <= 2)").alias("want"),
+    ).collect()
+    assert all(r.hit == r.want and r.near == (r.differing <= 23) for r in out)
+    assert all(r.hit for r in out if r.near)
+
+
+def test_fingerprints_recall_pairs_at_the_threshold(spark):
+    draw, rows = random.Random(12), []
+    for k in range(4000):
+        union = draw.choice([5, 10, 20, 40, 95])
+        common = -(-80 * union // 100)
+        left = draw.randint(0, union - common)
+        hashes = [draw.getrandbits(64) - (1 << 63) for _ in range(union)]
+        rows.append((hashes[: common + left], hashes[:common] + hashes[common + left :]))
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    near = frame.where(decontamination.within_radius(decontamination.simhash(F.col("a")), decontamination.simhash(F.col("b"))))
+    assert near.count() >= 0.999 * len(rows)
+
+
+def test_repetitions_are_numbered(spark):
+    draw = random.Random(2)
+    rows = [([], []), ([7], [7, 7])] + [
+        tuple(sorted(draw.choice([1, 2, 3, -(1 << 63), 9 + k]) for _ in range(draw.randint(0, 30))) for _ in "ab") for k in range(60)
+    ]
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    both = F.size(F.array_intersect(decontamination.numbered(F.col("a")), decontamination.numbered(F.col("b"))))
+    got = [tuple(r) for r in frame.select(both, F.size(decontamination.numbered(F.col("a")))).collect()]
+    assert got == [(sum((Counter(a) & Counter(b)).values()), len(a)) for a, b in rows]
+
+
 def test_simhash_is_the_majority(spark):
     draw = random.Random(8)
     rows = [([draw.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 50, 1000)]
