@@ -271,14 +271,48 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def payloads(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
-    """``records`` whose payload lies in one chunk, with it as binary column ``payload``."""
+def _stored(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """(file, start, payload) of ``records`` as they lie in the archives; revisits hold none."""
+    nodes = materialize(candidates(spark, path), "warc-chunks")
+    wanted = records.select("file", "start").distinct()
+    found = materialize(nodes.join(wanted, ["file", "start"], "left_semi"), "warc-wanted")
     text = chunks(spark, path).select("chunk", "value")
-    start = F.octet_length(F.substring_index("value", BREAK, 1)) + len(BREAK) + 1
-    return records.join(text, "chunk").select(
-        *records.columns,
-        F.substring(F.col("value").cast("binary"), start, F.col("content")).alias("payload"),
+    whole = (
+        found.where("digest is not null")
+        .join(text, "chunk")
+        .select(
+            "file",
+            "start",
+            F.substring(
+                F.col("value").cast("binary"), F.col("head_bytes") + len(BREAK) + 1, F.col("content")
+            ).alias("payload"),
+        )
+    )
+    return whole.unionByName(_split_payloads(spark, path, nodes, found.where("digest is null")))
+
+
+def payloads(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """``records`` (of ``read_archives``) with their whole payload as binary column ``payload``.
+
+    Payloads that hold magics are put together from their chunks. A revisit has the payload of
+    the response that it refers to, or null if the archives do not hold that.
+    """
+    own = materialize(
+        records.select("file", "start", "type", "page_id", "digest", "refers_to", "stated").join(
+            _stored(spark, path, records), ["file", "start"]
+        ),
+        "warc-payloads",
+    )
+    again = own.where("type = 'revisit'").select("file", "start", "refers_to", "stated")
+    responses = (
+        own.where("type = 'response'")
+        .select(F.col("page_id").alias("refers_to"), F.col("digest").alias("stated"), "payload")
+        .join(again.select("refers_to", "stated").distinct(), ["refers_to", "stated"], "left_semi")
+        .dropDuplicates(["refers_to", "stated"])
     )
+    through = again.join(responses, ["refers_to", "stated"]).select("file", "start", "payload")
+    every = own.where("type <> 'revisit'").select("file", "start", "payload").unionByName(through)
+    return records.join(every, ["file", "start"], "left")
 
 
 def resolve(records: DataFrame) -> DataFrame:
