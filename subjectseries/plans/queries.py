@@ -36,7 +36,7 @@ from subjectseries.functions.scalars import (
     round1,
 )
 from subjectseries.operators import aggregates, paging, ranges
-from subjectseries.operators.asof import asof_join, latest_at
+from subjectseries.operators.asof import Lookup, asof_join, asof_lookups, latest_at
 
 # Contract limits.
 MAX_POINTS = 10_000
@@ -352,7 +352,7 @@ def context_snapshot(
 ) -> DataFrame:
     """What is known at each anchor (``subject_id, anchor``), and what is missing.
 
-    The three lookups are as-of scans; sleep and glucose are range joins followed by
+    The three lookups are one as-of scan; sleep and glucose are range joins followed by
     aggregates. Parts are put together on the anchor key, which is unique per part.
     """
     positive_lookback(meal_lookback_days, MEAL_LOOKBACK_DAYS, "meal_lookback_days")
@@ -362,35 +362,35 @@ def context_snapshot(
     )
     key = ["subject_id", "anchor"]
     distinct_anchors = anchors.select(*key).distinct()
-    with_meal = asof_join(
+    lookups = asof_lookups(
         distinct_anchors,
-        meal_items(live(tables.meals)),
-        anchor_time="anchor",
-        event_time="meal_completed_at",
-        event_id="id",
-        columns=["foods", "source"],
-        lookback_us=meal_lookback_days * US_PER_DAY,
-        name="last_logged_meal",
-    )
-    with_workout = asof_join(
-        with_meal,
-        workout_items(live(tables.workouts)),
-        anchor_time="anchor",
-        event_time="end_time",
-        event_id="id",
-        columns=["start_time", "end_time", "sport", "distance_meters", "duration_minutes", "source"],
-        lookback_us=WORKOUT_LOOKBACK_DAYS * US_PER_DAY,
-        name="most_recent_workout",
-    )
-    lookups = asof_join(
-        with_workout,
-        weight_items(live(tables.weight)),
+        [
+            Lookup(
+                meal_items(live(tables.meals)),
+                "meal_completed_at",
+                "id",
+                ["foods", "source"],
+                meal_lookback_days * US_PER_DAY,
+                "last_logged_meal",
+            ),
+            Lookup(
+                workout_items(live(tables.workouts)),
+                "end_time",
+                "id",
+                ["start_time", "end_time", "sport", "distance_meters", "duration_minutes", "source"],
+                WORKOUT_LOOKBACK_DAYS * US_PER_DAY,
+                "most_recent_workout",
+            ),
+            Lookup(
+                weight_items(live(tables.weight)),
+                "measured_at",
+                "id",
+                ["value_kg", "source"],
+                WEIGHT_LOOKBACK_DAYS * US_PER_DAY,
+                "most_recent_weight_measurement",
+            ),
+        ],
         anchor_time="anchor",
-        event_time="measured_at",
-        event_id="id",
-        columns=["value_kg", "source"],
-        lookback_us=WEIGHT_LOOKBACK_DAYS * US_PER_DAY,
-        name="most_recent_weight_measurement",
     )
     keyed = distinct_anchors.withColumn("anchor_us", epoch_us("anchor"))
     sleep_us = sleep_lookback_hours * US_PER_HOUR

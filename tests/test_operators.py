@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from subjectseries.operators import gaps, ranges
-from subjectseries.operators.asof import asof_join
+from subjectseries.operators.asof import Lookup, asof_join, asof_lookups
 from subjectseries.operators.bands import BandPlan, chunked, largest_gap, with_block_maxima
 from subjectseries.operators.chunks import expand_copies, observations
 from subjectseries.operators.distribution import distribution
@@ -122,6 +122,38 @@ def test_asof_ties_bounds_and_far_carry(spark):
     }
 
 
+def test_asof_lookups_against_brute_force(spark):
+    rng = random.Random(11)
+    names = {"a": (900 * UNIT, 400), "b": (5000 * UNIT, 60), "c": (40 * UNIT, 300)}
+    events = {
+        name: [(rng.choice("ssst"), rng.randrange(4000) * UNIT, f"{name}{rng.randrange(50)}") for _ in range(n)] + [("s", None, "none")]
+        for name, (_, n) in names.items()
+    }
+    anchors = [(rng.choice("sstq"), rng.randrange(-10, 9000) * UNIT, k % 7) for k in range(200)]
+    anchors += anchors[:5] + [("s", None, 0), (None, 7, 0)]
+    events["b"] += [(None, 5, "nobody")]
+    lookups = [
+        Lookup(spark.createDataFrame(events[name], "subject_id string, us long, id string").withColumn("t", F.timestamp_micros("us")), "t", "id", [], back, name)
+        for name, (back, _) in names.items()
+    ]
+    frame = spark.createDataFrame(anchors, "subject_id string, at long, a int").select("subject_id", F.timestamp_micros("at").alias("anchor"), F.col("a").alias("_us"))
+
+    def latest(name, subject, at):
+        fitting = [(t, i) for s, t, i in events[name] if s == subject and None not in (s, t, at) and at - names[name][0] <= t <= at]
+        return max(fitting, default=None)
+
+    def found(out):
+        at = F.unix_micros("anchor").alias("at")
+        return [(r.subject_id, r.at, *((v.us, v.id) if v else None for v in (r.a, r.b, r.c))) for r in out.select("subject_id", at, *names).collect()]
+
+    want = Counter((s, at, *(latest(name, s, at) for name in names)) for s, at, _ in anchors)
+    for an in (frame, frame.drop("_us")):
+        out = asof_lookups(an, lookups, anchor_time="anchor", width_us=300 * UNIT)
+        assert out.columns == [*an.columns, *names]
+        assert Counter(found(out)) == want
+    assert Counter(r["_us"] for r in asof_lookups(frame, lookups, anchor_time="anchor").collect()) == Counter(a for _, _, a in anchors)
+
+
 def test_range_joins_against_brute_force(spark):
     rng = random.Random(3)
     windows = [("s" if rng.random() < 0.8 else "q", i, rng.randrange(5000)) for i in range(60)]
