@@ -9,7 +9,7 @@ from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,9 +50,22 @@ _MANIFEST = T.StructType(
         T.StructField("source_end_us", T.LongType()),
         T.StructField("timezone", T.StringType()),
         T.StructField("created_at", T.TimestampType()),
+        T.StructField("quality", T.MapType(T.StringType(), T.LongType())),
     ]
 )
 
+_DIGEST_PARTS = ("d0", "d1", "d2", "d3")
+_FILES = T.StructType(
+    [
+        T.StructField("table", T.StringType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("rows", T.LongType()),
+        *[T.StructField(part, T.DecimalType(38, 0)) for part in _DIGEST_PARTS],
+    ]
+)
+#: Damaged files that an error names.
+_NAMED_FILES = 100
+
 
 class SnapshotError(ValueError):
     """A snapshot is incomplete, altered or not canonical. ``problems`` lists all findings."""
@@ -213,6 +226,34 @@ def require_canonical(tables: dict[str, DataFrame]) -> None:
         raise SnapshotError("records are not canonical", sorted(problems))
 
 
+def _row_measures(name: str, lo: Column, hi: Column) -> dict[str, Column]:
+    """Aggregates that need nothing but a table's rows."""
+    outside = ~in_range("timestamp", lo, hi) if name in POINT_TABLES else not_inside("start", "end", lo, hi)
+    measures = {"rows": F.count(F.lit(1)), "out_of_window": F.count_if(outside)}
+    if name == "glucose":
+        measures["out_of_range"] = F.count_if(outside_sanity("glucose_mg_dl"))
+    return measures
+
+
+def _measured(df: DataFrame, name: str, measures: dict[str, Column]) -> DataFrame:
+    row = df.agg(*[c.alias(k) for k, c in measures.items()])
+    entries = [F.struct(F.lit(k).alias("measure"), F.col(k).alias("n")) for k in measures]
+    return row.select(F.explode(F.array(*entries)).alias("e")).select(
+        F.lit(name).alias("table"), "e.measure", "e.n"
+    )
+
+
+def _time_measures(glucose: DataFrame) -> DataFrame:
+    """Repeated times and long gaps, which need the rows in order."""
+    obs = observations(glucose, "timestamp", "glucose_mg_dl")
+    repeated = F.coalesce(F.sum(F.col("n") - 1), F.lit(0).cast("bigint"))
+    gap = F.col("gap_us")
+    long_gaps = {f"gaps_over_{m}m": F.count_if(gap > m * US_PER_MINUTE) for m in GAP_LIMITS_MINUTES}
+    return _measured(obs, "glucose", {"duplicate_timestamps": repeated}).unionByName(
+        _measured(time_gaps(obs), "glucose", long_gaps)
+    )
+
+
 def quality_counts(tables: dict[str, DataFrame], start: datetime, end: datetime) -> DataFrame:
     """``table, measure, n``: rows and rows not inside the window per table.
 
@@ -220,43 +261,8 @@ def quality_counts(tables: dict[str, DataFrame], start: datetime, end: datetime)
     the plausible range. Nothing is dropped.
     """
     lo, hi = ts_lit(start), ts_lit(end)
-
-    def measures(df: DataFrame, name: str, **named: Column) -> DataFrame:
-        row = df.agg(*[c.alias(k) for k, c in named.items()])
-        entries = [F.struct(F.lit(k).alias("measure"), F.col(k).alias("n")) for k in named]
-        return row.select(F.explode(F.array(*entries)).alias("e")).select(
-            F.lit(name).alias("table"), "e.measure", "e.n"
-        )
-
-    parts = []
-    for name, df in tables.items():
-        if name in POINT_TABLES:
-            outside = ~in_range("timestamp", lo, hi)
-        else:
-            outside = not_inside("start", "end", lo, hi)
-        extra = {}
-        if name == "glucose":
-            extra["out_of_range"] = F.count_if(outside_sanity("glucose_mg_dl"))
-        parts.append(
-            measures(df, name, rows=F.count(F.lit(1)), out_of_window=F.count_if(outside), **extra)
-        )
-    obs = observations(tables["glucose"], "timestamp", "glucose_mg_dl")
-    parts.append(
-        measures(
-            obs,
-            "glucose",
-            duplicate_timestamps=F.coalesce(F.sum(F.col("n") - 1), F.lit(0).cast("bigint")),
-        )
-    )
-    gap = F.col("gap_us")
-    parts.append(
-        measures(
-            time_gaps(obs),
-            "glucose",
-            **{f"gaps_over_{m}m": F.count_if(gap > m * US_PER_MINUTE) for m in GAP_LIMITS_MINUTES},
-        )
-    )
-    return reduce(DataFrame.unionByName, parts)
+    parts = [_measured(df, name, _row_measures(name, lo, hi)) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, [*parts, _time_measures(tables["glucose"])])
 
 
 # --- identity ----------------------------------------------------------------------
@@ -273,16 +279,61 @@ def fingerprint(df: DataFrame) -> DataFrame:
     nulls, so a value that moves to another column changes it; its 240 bits are
     summed in four parts.
     """
+    return df.agg(F.count(F.lit(1)).alias("rows"), _joined(_digest_sums(df)).alias("fingerprint"))
+
+
+def _digest_sums(df: DataFrame) -> list[Column]:
     text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     digest = F.sha2(text, 256)
-    sums = [
-        F.coalesce(
-            F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")),
-            F.lit(0).cast("decimal(38,0)"),
-        ).cast("string")
-        for k in range(4)
+    return [
+        F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)")
+        for k in range(len(_DIGEST_PARTS))
     ]
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws("-", *sums).alias("fingerprint"))
+
+
+def _joined(sums: list[Column]) -> Column:
+    none = F.lit(0).cast("decimal(38,0)")
+    return F.concat_ws("-", *[F.coalesce(part, none).cast("string") for part in sums])
+
+
+def file_digests(df: DataFrame, table: str) -> DataFrame:
+    """(table, file, rows, d0..d3, reversed) of the files that ``df`` reads, in one pass.
+
+    The digests of a table's files add up to its :func:`fingerprint`; ``reversed`` counts
+    intervals that end before they start.
+    """
+    reversed_rows = F.count_if(F.col("end") <= F.col("start")) if table in INTERVAL_TABLES else F.lit(0).cast("bigint")
+    parts = [part.alias(name) for part, name in zip(_digest_sums(df), _DIGEST_PARTS)]
+    return (
+        df.groupBy(F.col("_metadata.file_name").alias("file"))
+        .agg(F.count(F.lit(1)).alias("rows"), *parts, reversed_rows.alias("reversed"))
+        .select(F.lit(table).alias("table"), "file", "rows", *_DIGEST_PARTS, "reversed")
+    )
+
+
+def _table_digests(files: DataFrame) -> dict[str, tuple[int, str]]:
+    """Rows and fingerprint of every table, added up over its files."""
+    sums = [F.sum(part).cast("decimal(38,0)") for part in _DIGEST_PARTS]
+    rows = files.groupBy("table").agg(F.sum("rows").alias("rows"), _joined(sums).alias("fingerprint")).collect()
+    none = (0, "-".join("0" for _ in _DIGEST_PARTS))
+    return {table: none for table in SNAPSHOT} | {r["table"]: (r["rows"], r["fingerprint"]) for r in rows}
+
+
+def _damage(stated: DataFrame, actual: DataFrame) -> list[str]:
+    """What differs between the file list of a snapshot and its files; the first of them named."""
+    content = F.struct("rows", *_DIGEST_PARTS)
+    pairs = stated.select("table", "file", content.alias("stated")).join(
+        actual.select("table", "file", content.alias("actual"), "reversed"), ["table", "file"], "full"
+    )
+    state = (
+        F.when(F.col("actual").isNull(), "is missing")
+        .when(F.col("stated").isNull(), "was added")
+        .when(F.col("stated") != F.col("actual"), "was changed")
+    )
+    wrong = pairs.select("table", "file", state.alias("state"), "reversed").where("state is not null or reversed > 0")
+    found = wrong.orderBy("table", "file").limit(_NAMED_FILES).collect()
+    problems = [f"{r['table']} differs from the manifest: {r['file']} {r['state']}" for r in found if r["state"]]
+    return problems + [f"{r['table']} has intervals with end <= start in {r['file']}" for r in found if r["reversed"]]
 
 
 def derived_id(prefix: str, **identity) -> str:
@@ -318,33 +369,31 @@ def write_snapshot(
     # is emptied before its tables are replaced.
     if overwrite and _readable(spark, f"{target}/manifest"):
         spark.createDataFrame([], _MANIFEST).write.mode("overwrite").parquet(f"{target}/manifest")
+    lo, hi = ts_lit(start), ts_lit(end)
+    quality: dict[str, dict[str, int]] = {}
     for table, df in extracted.items():
-        canonical_order(df, table).write.mode("overwrite").option("compression", "zstd").parquet(
-            f"{target}/{table}"
-        )
+        # Counted in the tasks that write, so that the counts cost no further scan.
+        seen = Observation(f"{name}-{table}")
+        measures = {**_row_measures(table, lo, hi), "fingerprint": _joined(_digest_sums(df))}
+        canonical_order(df, table).observe(seen, *[c.alias(k) for k, c in measures.items()]).write.mode(
+            "overwrite"
+        ).option("compression", "zstd").parquet(f"{target}/{table}")
+        quality[table] = seen.get
     stored = read_tables(spark, target)
-    manifest = _manifest_rows(stored, name, start, end, tz, created_at)
-    manifest.coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest")
-    return target
-
-
-def _manifest_rows(stored, name, start, end, tz, created_at) -> DataFrame:
-    created = ts_lit(created_at) if created_at else F.current_timestamp()
-    parts = [
-        fingerprint(df).select(
-            F.lit(table).alias("table"),
-            "rows",
-            "fingerprint",
-            F.lit(name).alias("snapshot_id"),
-            F.lit(SNAPSHOT_SCHEMA_VERSION).alias("schema_version"),
-            F.lit(to_us(start)).cast("bigint").alias("source_start_us"),
-            F.lit(to_us(end)).cast("bigint").alias("source_end_us"),
-            F.lit(tz).alias("timezone"),
-            created.alias("created_at"),
-        )
-        for table, df in stored.items()
+    digests = reduce(DataFrame.unionByName, [file_digests(df, table) for table, df in stored.items()])
+    digests.drop("reversed").coalesce(1).write.mode("overwrite").parquet(f"{target}/files")
+    written = _table_digests(spark.read.schema(_FILES).parquet(f"{target}/files"))
+    for table, counts in quality.items():
+        if (counts["rows"], counts.pop("fingerprint")) != written[table]:
+            raise SnapshotError(f"{table} was not stored as it was extracted")
+    quality["glucose"] |= {r["measure"]: r["n"] for r in _time_measures(stored["glucose"]).collect()}
+    created = created_at or datetime.now(timezone.utc)
+    manifest = [
+        (table, *written[table], name, SNAPSHOT_SCHEMA_VERSION, to_us(start), to_us(end), tz, created, counts)
+        for table, counts in quality.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest")
+    return target
 
 
 def _readable(spark: SparkSession, path: str) -> bool:
@@ -408,7 +457,7 @@ def manifest_identity(rows: list) -> str:
 
 
 def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
-    """Read a snapshot and verify it: tables, version, schemas, contents, intervals."""
+    """Read a snapshot and verify it: tables, version, schemas, intervals and contents by file."""
     try:
         rows = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").collect()
     except AnalysisException as error:
@@ -422,17 +471,16 @@ def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
         raise SnapshotError(f"schema version {head['schema_version']} is not supported")
     tables = read_tables(spark, path)
     problems: list[str] = []
+    try:
+        files = spark.read.schema(_FILES).parquet(f"{path}/files")
+    except AnalysisException as error:
+        raise SnapshotError("snapshot has no list of files") from error
+    for table, listed in _table_digests(files).items():
+        if listed != (by_table[table]["rows"], by_table[table]["fingerprint"]):
+            problems.append(f"{table} differs from the manifest in its list of files")
     # Contents and interval order are checked in the same pass over each table.
-    for table, df in tables.items():
-        checks = fingerprint(df)
-        actual = checks.collect()[0]
-        if (actual["rows"], actual["fingerprint"]) != (
-            by_table[table]["rows"],
-            by_table[table]["fingerprint"],
-        ):
-            problems.append(f"{table} differs from the manifest")
-        if table in INTERVAL_TABLES and not df.filter(F.col("end") <= F.col("start")).limit(1).isEmpty():
-            problems.append(f"{table} has intervals with end <= start")
+    actual = reduce(DataFrame.unionByName, [file_digests(df, table) for table, df in tables.items()])
+    problems += _damage(files, actual)
     if problems:
         raise SnapshotError("snapshot verification failed", problems)
     return Snapshot(

@@ -125,6 +125,24 @@ def snapshot_write(t):
     return t.spark.read.parquet(f"{_written(t)}/manifest").select("table", "rows")
 
 
+@query(
+    "s14_manifest_counts",
+    f"""WITH {WINDOWED}, gv AS (SELECT subject_id, us, ((CAST(v * 1000 AS BIGINT) + 50) // 100) / 10.0 AS value FROM gw),
+gp AS (SELECT us - lag(us) OVER (PARTITION BY subject_id ORDER BY us) AS gap FROM gv),
+pt AS (SELECT 'glucose' AS tab, us FROM gv UNION ALL SELECT 'meals', us FROM mw UNION ALL SELECT 'weight', us FROM kw),
+sp AS (SELECT 'workouts' AS tab, s, e FROM ww UNION ALL SELECT 'sleep', s, e FROM zw)
+SELECT tab AS "table", 'rows' AS measure, count(*) AS n FROM pt GROUP BY 1 UNION ALL SELECT tab, 'rows', count(*) FROM sp GROUP BY 1
+UNION ALL SELECT tab, 'out_of_window', 0 FROM pt GROUP BY 1
+UNION ALL SELECT tab, 'out_of_window', count(*) FILTER (s < lo OR e > hi) FROM sp, bounds GROUP BY 1
+UNION ALL SELECT 'glucose', 'out_of_range', count(*) FILTER (NOT value BETWEEN 20 AND 600) FROM gv
+UNION ALL SELECT 'glucose', 'duplicate_timestamps', count(*) - count(DISTINCT (subject_id, us)) FROM gv
+UNION ALL SELECT 'glucose', 'gaps_over_15m', count(*) FILTER (gap > 900000000) FROM gp
+UNION ALL SELECT 'glucose', 'gaps_over_60m', count(*) FILTER (gap > 3600000000) FROM gp""",
+)
+def manifest_counts(t):
+    return t.spark.read.parquet(f"{_written(t)}/manifest").select("table", F.explode("quality").alias("measure", "n"))
+
+
 @query(
     "s16_snapshot_load",
     f"WITH {WINDOWED} SELECT subject_id, us, ((CAST(v * 1000 AS BIGINT) + 50) // 100) / 10.0 AS value FROM gw",

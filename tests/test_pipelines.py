@@ -1,9 +1,11 @@
 """Ingest, snapshot, derived datasets and streams on small inputs."""
 
 import json
+import shutil
 import tempfile
 from datetime import timedelta
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,9 +110,27 @@ def test_snapshot_to_episodes(spark):
     other = S.load_snapshot(spark, S.write_snapshot(tables(spark), T0, end + minutes(1), root))
     with pytest.raises(S.SnapshotError):
         datasets.check_pair(other, diagnostics)
+    stored = loaded.tables["meals"].inputFiles()
     loaded.tables["glucose"].limit(1).write.mode("append").parquet(f"{path}/glucose")
-    with pytest.raises(S.SnapshotError, match="glucose differs"):
+    loaded.tables["meals"].withColumn("source", F.lit("other")).coalesce(1).write.parquet(f"{root}/other")
+    old, new = Path(stored[0].removeprefix("file://")), next(Path(f"{root}/other").glob("part-*"))
+    for name, place in ((new.name, old.name), (f".{new.name}.crc", f".{old.name}.crc")):
+        shutil.copy(new.with_name(name), old.with_name(place))
+    with pytest.raises(S.SnapshotError, match="glucose differs.* was added") as failure:
         S.load_snapshot(spark, path)
+    assert f"meals differs from the manifest: {old.name} was changed" in failure.value.problems
+
+
+def test_manifest_counts_are_those_of_the_tables(spark):
+    end = T0 + timedelta(hours=5)
+    path = S.write_snapshot(tables(spark), T0, end, tempfile.mkdtemp(prefix="run-"))
+    loaded = S.load_snapshot(spark, path)
+    manifest = spark.read.parquet(f"{path}/manifest").collect()
+    got = {(r["table"], measure, n) for r in manifest for measure, n in r["quality"].items()}
+    assert got == {tuple(r) for r in S.quality_counts(loaded.tables, T0, end).collect()}
+    assert {(r["table"], r["rows"], r["fingerprint"]) for r in manifest} == {
+        (name, *S.fingerprint(df).first()) for name, df in loaded.tables.items()
+    }
 
 
 def test_non_canonical_records_stop_the_snapshot(spark):
