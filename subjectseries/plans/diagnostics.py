@@ -326,10 +326,11 @@ def daily_coverage(
 
 
 # --- forecast readiness ------------------------------------------------------------------
+# Reasons stated with a readiness status.
 REASONS = {
-    "insufficient_history": "no observation at or before the minimum-history instant",
-    "missing_target": "no observation within the target tolerance",
-    "eligible_ambiguous": "several observations within the target tolerance",
+    "insufficient_history": "no observed glucose timestamp at or before the configured minimum-history instant",
+    "missing_target": "no observed glucose timestamp within the configured target-tolerance band",
+    "eligible_ambiguous": "multiple observed glucose timestamps within the configured target-tolerance band",
 }
 
 

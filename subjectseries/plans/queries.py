@@ -125,6 +125,7 @@ def _intervals(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 
 # --- coverage ----------------------------------------------------------------
+# Categories of data.
 CATEGORIES = ("glucose", "meals", "workouts", "sleep_intervals", "weight_measurements")
 
 
@@ -473,6 +474,7 @@ def _unavailable() -> Column:
             missing, F.struct(F.lit(category).alias("category"), F.lit(reason).alias("reason"))
         )
 
+    # Reasons and categories of what is missing.
     none = "no_record_in_lookback"
     empty = "no_samples_in_window"
     return F.array_compact(

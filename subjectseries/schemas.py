@@ -11,6 +11,7 @@ def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in columns.items()])
 
 
+# Names of the stored tables.
 ENTITIES = (
     "glucose_samples",
     "workouts",
@@ -19,7 +20,7 @@ ENTITIES = (
     "meal_events",
 )
 
-# --- stored tables ---------------------------------------------------------
+# --- stored tables (fixed values: the data contract) -----------------------
 _IDENTITY = {"subject_id": _S, "source": _S, "source_sample_id": _S, "source_name": _S}
 _AUDIT = {"metadata": _S, "ingested_at": _TS, "updated_at": _TS, "deleted_at": _TS}
 
@@ -49,7 +50,7 @@ STORED = {
 
 SOURCES = _schema(subject_id=_S, source=_S, source_name=_S, source_type=_S)
 
-# Columns whose change turns a matched row into an update.
+# Columns whose change turns a matched row into an update.
 MEANINGFUL = {
     "glucose_samples": ("sample_time", "value_mg_dl", "trend", "source_name", "metadata"),
     "workouts": (
@@ -69,7 +70,7 @@ MEANINGFUL = {
 }
 IDENTITY = ("subject_id", "source", "source_sample_id")
 
-# --- snapshot tables -------------------------------------------------------
+# --- snapshot tables (fixed values: the data contract) ---------------------
 SNAPSHOT = {
     "glucose": _schema(subject_id=_S, timestamp=_TS, glucose_mg_dl=_D),
     "meals": _schema(
@@ -96,6 +97,7 @@ ID_COLUMNS = {
     "weight": "weight_id",
 }
 
+# Statuses of an anchor and horizon.
 READINESS_STATUSES = (
     "eligible_unique",
     "eligible_ambiguous",
