@@ -115,6 +115,37 @@ def test_quality_held_out(spark, empty_docs, no_labels):
     assert quality.score(empty_docs, no_labels).count() == 0
 
 
+def test_surest_rows_share_the_last_margin():
+    assert quality.surest(np.array([2, 0, 3, 4]), 4).tolist() == [1, 0, 2 / 3, 0]
+    assert quality.surest(np.array([9, 1]), 3).tolist() == [1 / 3, 0]
+    assert quality.surest(np.array([1, 1]), 5).tolist() == [1, 1]
+
+
+def test_quality_learns_from_all_unlabelled_rows(spark):
+    """Sums over tasks against the same rounds written out over all rows in memory."""
+    rows = [(i, t if not y else t.upper().replace(" ", "!! "), 1 - y) for i, t, y in _texts(1200)]
+    docs = documents(spark, [(i, t) for i, t, _ in rows] + [(i, rows[0][1]) for i in range(5000, 5400)])
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows[:150]], "doc_id long, quality int, toxic int")
+    views = quality.features(docs.repartition(7))
+    model = quality.fit(views, labels)
+    assert len(model.rounds) == quality.ROUNDS
+    held = {r.doc_id: r for r in views.collect()}
+    out = [i for i in held if i >= 150 and not held[i].held_out]
+    pool = [np.array([np.frombuffer(held[i][v], np.float32) for i in out], float) for v in ("text_view", "meta_view")]
+    taken = [np.zeros(len(out)), np.zeros(len(out))]
+    for n in range(quality.ROUNDS):
+        _, last = quality.picked(model.rounds[: n + 1], pool)
+        weight = min(1, quality.ADDED * sum(i < 150 and not held[i].held_out and zlib.crc32(str(i).encode()) // 4 % 5 != 0 for i in held) / (quality.SHARE * len(out)))
+        for k, (good, bad) in enumerate(last):
+            assert not (taken[k] * (good + bad)).any()
+            assert (good.sum() + bad.sum()) / weight <= quality.SHARE * len(out) + 1e-6
+            taken[k] += good + bad
+    assert (taken[0] > 0).any()
+    # Copies share one margin: all are picked in the same round with the same weight, or none.
+    copies = [n for n, i in enumerate(out) if i >= 5000]
+    assert len({round(t, 9) for t in taken[0][copies]}) == 1
+
+
 def test_language_profiles(spark, empty_docs):
     samples = {"en": "the shining thing with other", "de": "der schöne Übergang zwischen", "fr": "où l'été près forêt être"}
     draw = random.Random(2)
