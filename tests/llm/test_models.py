@@ -122,7 +122,7 @@ def test_surest_rows_share_the_last_margin():
 
 
 def test_quality_learns_from_all_unlabelled_rows(spark):
-    """Sums over tasks against the same rounds written out over all rows in memory."""
+    """Every round picks anew from all rows, at most its share of them, and treats copies alike."""
     rows = [(i, t if not y else t.upper().replace(" ", "!! "), 1 - y) for i, t, y in _texts(1200)]
     docs = documents(spark, [(i, t) for i, t, _ in rows] + [(i, rows[0][1]) for i in range(5000, 5400)])
     labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows[:150]], "doc_id long, quality int, toxic int")
