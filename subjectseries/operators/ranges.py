@@ -3,8 +3,9 @@
 Windows are copied to the buckets they meet. Points fall in one bucket. Intervals
 are kept in tiers by length, so an interval meets at most two buckets of its own
 tier however long it is (beyond the last tier it meets a few more). Each pair is
-produced in exactly one bucket, hence no de-duplication afterwards. Join sides are
-never forced to broadcast; adaptive execution splits skewed buckets.
+produced in exactly one bucket, hence no de-duplication afterwards. Both joins are
+sort-merge joins: the planner does not see how many copies a row gets and would broadcast
+them through the driver. Adaptive execution splits skewed buckets.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def point_in_window(
     right = points.withColumn("_us", us).withColumn("_bucket", bucket_index("_us", width_us))
     below = F.col("_us") <= F.col("_hi") if closed_high else F.col("_us") < F.col("_hi")
     return (
-        left.join(right, ["subject_id", "_bucket"])
+        left.join(right.hint("merge"), ["subject_id", "_bucket"])
         .filter((F.col("_us") >= F.col("_lo")) & below)
         .drop("_bucket", "_lo", "_hi", "_us")
     )
@@ -103,7 +104,7 @@ def interval_overlap(
     meets = (F.col("_s") < F.col("_hi")) & (F.col("_e") > F.col("_lo"))
     first_shared = F.col("_bucket") == F.greatest("_lfirst", "_rfirst")
     return (
-        left.join(right, ["subject_id", "_tier", "_bucket"])
+        left.join(right.hint("merge"), ["subject_id", "_tier", "_bucket"])
         .filter(meets & first_shared)
         .drop("_tier", "_bucket", "_lo", "_hi", "_lfirst", "_s", "_e", "_rfirst")
     )

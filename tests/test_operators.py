@@ -181,6 +181,20 @@ def test_range_joins_against_brute_force(spark):
         assert got == sorted((i, n) for a, i, hi in windows for b, n, s, _ in spans if a == b and hi - 50 <= s <= hi)
 
 
+def test_copied_rows_of_a_range_join_are_not_broadcast(spark, tmp_path):
+    spark.range(50).select(F.lit("s").alias("subject_id"), F.col("id").alias("at")).write.parquet(f"{tmp_path}/w")
+    spark.range(50).select(F.lit("s").alias("subject_id"), "id", (F.col("id") + 9).alias("end")).write.parquet(f"{tmp_path}/e")
+    w, e = (spark.read.parquet(f"{tmp_path}/{name}") for name in "we")
+    bounds = {"low": F.col("at") - 40, "high": F.col("at"), "width_us": 1}
+    for df in (
+        ranges.interval_overlap(w, e, start_us=F.col("id"), end_us=F.col("end"), **bounds),
+        ranges.point_in_window(w, e, us=F.col("id"), **bounds),
+    ):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_distribution_is_exact(spark):
     rng = random.Random(5)
     groups = {
