@@ -124,16 +124,26 @@ def audit_rows(envelope: DataFrame, counts: DataFrame, rejected: DataFrame) -> D
 def validate_all(
     envelope: DataFrame, entities: Iterable[str] = ENTITIES, records: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """Validated records per entity. Documents are parsed once: the exploded records (``records``
-    where the source has split them already) are written to scratch and each entity reads its
-    own partition."""
+    """Validated records per entity. Documents are parsed once (:func:`parsed_once`) and each entity
+    reads its own column; ``records``, where the source has split them already, are written to
+    scratch and each entity reads its own partition."""
+    if records is None:
+        parsed = parsed_once(envelope) if "body" in envelope.columns else envelope
+        return {entity: export.validated(export.entity_records(parsed, entity), entity) for entity in entities}
     path = scratch_dir(envelope.sparkSession, "records")
-    all_records = export.records(envelope) if records is None else records
-    all_records.write.partitionBy("entity").parquet(path)
-    stored = envelope.sparkSession.read.schema(all_records.schema).parquet(path)
+    records.write.partitionBy("entity").parquet(path)
+    stored = envelope.sparkSession.read.schema(records.schema).parquet(path)
     return {entity: export.validated(stored, entity) for entity in entities}
 
 
+def parsed_once(envelope: DataFrame, hashed: bool = False) -> DataFrame:
+    """Envelopes written to scratch, with the hash of the text or none in place of the text.
+
+    One row per document and one column per array: nothing is sorted, so a task holds a row at a time.
+    """
+    return materialize((export.document_hash(envelope) if hashed else envelope).drop("body"), "envelopes")
+
+
 def batch_digest(envelope: DataFrame) -> str:
     """A short name of the batch's documents: it depends on them alone, not on their order."""
     one = F.xxhash64("subject_id", "document_id", "payload_sha256").cast("decimal(38,0)")
@@ -157,7 +167,7 @@ def ingest(
     that died has reports of its own.
     Returns the audit rows, the counts, the rejections and the refused documents.
     """
-    return ingest_envelopes(spark, export.envelopes(documents), store, now=now, batch_label=batch_label)
+    return ingest_envelopes(spark, export.envelopes(documents, hashed=True), store, now=now, batch_label=batch_label)
 
 
 def ingest_envelopes(
@@ -173,6 +183,8 @@ def ingest_envelopes(
     Of every stored table only the partitions that hold keys of the batch are read.
     """
     now = F.current_timestamp() if now is None else now
+    if records is None:
+        envelope = parsed_once(envelope, hashed=True)
     valid = {
         entity: materialize(df, f"valid-{entity}")
         for entity, df in validate_all(envelope, records=records).items()

@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from subjectseries.functions.scalars import canonical_json
 from subjectseries.operators.barrier import settled
 from subjectseries.schemas import ENTITIES
 
@@ -81,7 +80,7 @@ def _typed(name: str, kind: str) -> Column:
         return F.when(is_text, parse_time(s)).when(is_number, F.timestamp_micros(micros))
     if kind == "list":
         return F.try_variant_get(F.col(f"v_{name}"), "$", "array<variant>")
-    return F.lit(None).cast("string")
+    raise ValueError(f"unknown kind {kind!r}")
 
 
 def with_fields(df: DataFrame, variant: str, fields: dict[str, str]) -> DataFrame:
@@ -91,7 +90,9 @@ def with_fields(df: DataFrame, variant: str, fields: dict[str, str]) -> DataFram
     )
     described = taken.withColumns(
         {
-            **{f"k_{n}": F.schema_of_variant(F.col(f"v_{n}")) for n in fields},
+            # An object is told by its JSON text, which is stored anyway.
+            **{f"k_{n}": F.schema_of_variant(F.col(f"v_{n}")) for n, kind in fields.items() if kind != "object"},
+            **{f"s_{n}": F.to_json(f"v_{n}") for n, kind in fields.items() if kind == "object"},
             **{
                 f"s_{n}": F.try_variant_get(F.col(f"v_{n}"), "$", "string")
                 for n, kind in fields.items()
@@ -99,7 +100,7 @@ def with_fields(df: DataFrame, variant: str, fields: dict[str, str]) -> DataFram
             },
         }
     )
-    return described.withColumns({f"x_{n}": _typed(n, kind) for n, kind in fields.items()})
+    return described.withColumns({f"x_{n}": _typed(n, kind) for n, kind in fields.items() if kind != "object"})
 
 
 # --- envelope --------------------------------------------------------------------
@@ -111,14 +112,20 @@ _HEADER = {
 }
 
 
-def envelopes(documents: DataFrame) -> DataFrame:
-    """Parse documents and give each a ``reject_code`` (null when acceptable)."""
+def envelopes(documents: DataFrame, hashed: bool = False) -> DataFrame:
+    """Parse documents: header, items of each array and a ``reject_code`` (null when acceptable).
+
+    With ``hashed``, the hash of the payload comes from the same parse.
+    """
     parsed = documents.select(
         "subject_id", "document_id", "body", F.try_parse_json("body").alias("doc")
     )
-    fielded = with_fields(parsed, "doc", {**_HEADER, **{name: "array" for name in ENTITIES}})
+    arrays = {name: F.try_variant_get("doc", f"$.{name}", "array<variant>") for name in ENTITIES}
+    fielded = with_fields(parsed, "doc", _HEADER).withColumns(arrays)
+    # What is there but no array has no items; the schema of the items is not needed to tell.
     arrays_ok = reduce(
-        lambda a, b: a & b, [_kind(name).isNull() | _is(name, "ARRAY") for name in ENTITIES]
+        lambda a, b: a & b,
+        [F.col(name).isNotNull() | F.try_variant_get("doc", f"$.{name}", "variant").isNull() for name in ENTITIES],
     )
     header_ok = reduce(lambda a, b: a & b, [_value(name).isNotNull() for name in _HEADER])
     code = (
@@ -131,9 +138,10 @@ def envelopes(documents: DataFrame) -> DataFrame:
         "subject_id",
         "document_id",
         "body",
-        "doc",
+        *ENTITIES,
         *[_value(name).alias(name) for name in _HEADER],
         code.alias("reject_code"),
+        *([F.sha2(F.to_json("doc"), 256).alias("payload_sha256")] if hashed else []),
     )
 
 
@@ -152,15 +160,7 @@ def records(envelope: DataFrame) -> DataFrame:
 
     One parse and one pass give the five arrays; the element index is kept.
     """
-    arrays = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("entity"),
-                F.try_variant_get("doc", f"$.{name}", "array<variant>").alias("items"),
-            )
-            for name in ENTITIES
-        ]
-    )
+    arrays = F.array(*[F.struct(F.lit(name).alias("entity"), F.col(name).alias("items")) for name in ENTITIES])
     return (
         accepted(envelope)
         .select("subject_id", "document_id", "exported_at", F.explode(arrays).alias("a"))
@@ -174,6 +174,17 @@ def records(envelope: DataFrame) -> DataFrame:
     )
 
 
+def entity_records(envelope: DataFrame, entity: str) -> DataFrame:
+    """:func:`records` of one entity; from a stored envelope, only its column is read."""
+    return accepted(envelope).select(
+        "subject_id",
+        "document_id",
+        "exported_at",
+        F.lit(entity).alias("entity"),
+        F.posexplode(entity).alias("index", "record"),
+    )
+
+
 # --- per-record rules --------------------------------------------------------------
 METRICS = {
     "distance_meters": "decimal(12,3)",
@@ -240,8 +251,14 @@ def _time(name: str) -> Rule:
 
 
 def _metadata() -> Rule:
-    holds = _kind("metadata").isNull() | _is("metadata", "OBJECT")
-    return (holds, BAD, "metadata must be an object")
+    text = F.col("s_metadata")
+    return (text.isNull() | text.startswith("{"), BAD, "metadata must be an object")
+
+
+def _object() -> Rule:
+    # Only an object has fields; the costly schema of a record is for those without a source.
+    holds = F.col("v_source").isNotNull() | F.schema_of_variant("record").startswith("OBJECT")
+    return (holds, BAD, "record must be a JSON object")
 
 
 def _positive(stored: str) -> Rule:
@@ -269,7 +286,7 @@ def _ordered(code: str) -> Rule:
 def rules(entity: str) -> list[Rule]:
     """Checks in order: structure field by field, then meaning."""
     head: list[Rule] = [
-        (_is("record", "OBJECT"), BAD, "record must be a JSON object"),
+        _object(),
         _required_text("source"),
         _optional_text("source_name"),
         _required_text("source_sample_id"),
@@ -348,7 +365,7 @@ def _stored_columns(entity: str) -> list[Column]:
         elif name in METRICS:
             out.append(_value(name).try_cast(METRICS[name]).alias(name))
         elif name == "metadata":
-            out.append(F.coalesce(F.to_json("v_metadata"), F.lit("{}")).alias("metadata"))
+            out.append(F.coalesce("s_metadata", F.lit("{}")).alias("metadata"))
         elif kind == "list":
             texts = F.try_variant_get(F.col(f"v_{name}"), "$", "array<string>")
             out.append(F.coalesce(texts, F.array().cast("array<string>")).alias(name))
@@ -359,9 +376,7 @@ def _stored_columns(entity: str) -> list[Column]:
 
 def validated(all_records: DataFrame, entity: str) -> DataFrame:
     """Typed records of one entity with ``rejection`` (null, or code and message)."""
-    rows = all_records.filter(F.col("entity") == entity).withColumn(
-        "k_record", F.schema_of_variant("record")
-    )
+    rows = all_records.filter(F.col("entity") == entity)
     if entity == "meal_events":
         rows = rows.withColumn(
             "keys", F.map_keys(F.try_variant_get("record", "$", "map<string,variant>"))
@@ -423,4 +438,4 @@ def document_hash(envelope: DataFrame) -> DataFrame:
     """``envelope`` with the hash of each payload, which a source may have made already."""
     if "payload_sha256" in envelope.columns:
         return envelope
-    return envelope.withColumn("payload_sha256", F.sha2(canonical_json("body"), 256))
+    return envelope.withColumn("payload_sha256", F.sha2(F.to_json(F.try_parse_json("body")), 256))

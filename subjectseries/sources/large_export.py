@@ -227,7 +227,7 @@ def read_large_documents(spark: SparkSession, path: str, subject_id: str | None
             F.when(F.col("good"), F.col("body")).otherwise(F.lit("")).alias("body"),
         )
     )
-    envelope = materialize(export.envelopes(skeletons).drop("doc").join(hashes, "document_id"), "export-envelopes")
+    envelope = materialize(export.envelopes(skeletons).drop(*ENTITIES).join(hashes, "document_id"), "export-envelopes")
     records = (
         checked.where("listed")
         .join(export.accepted(envelope).select("document_id", "subject_id", "exported_at"), "document_id")

@@ -13,7 +13,7 @@ from subjectseries.functions.scalars import local_date
 from subjectseries.operators import upsert
 from subjectseries.plans import ingest as I
 from subjectseries.schemas import ENTITIES, MEANINGFUL, STORED
-from subjectseries.session import scratch_dir
+from subjectseries.session import materialize, scratch_dir
 from subjectseries.sources import export
 from subjectseries.sources.large_export import read_large_documents
 
@@ -130,7 +130,8 @@ def documents(t):
         F.date_format(later(1_000), iso).alias("t_data"),
     )
     # The events are one small file, the documents are not: build and parse them in parallel.
-    spread = rows.repartition(t.spark.sparkContext.defaultParallelism, "id")
+    # Without a number, adaptive execution gives more tasks the more rows there are.
+    spread = rows.repartition("id")
     return spread.select(
         "subject_id", F.col("id").alias("document_id"), F.expr(document(False)).alias("body")
     )
@@ -358,6 +359,11 @@ def full_match(t):
     )
 
 
+def _validated_once(envelope):
+    """Validated records written once, as ingest does: they are both counted and classified."""
+    return {entity: materialize(df, f"valid-{entity}") for entity, df in I.validate_all(envelope).items()}
+
+
 def _classified(t, valid):
     """Stored before: views as the batch has them, clicks with another value."""
     kind, none = F.col("event_type"), F.lit(None)
@@ -394,7 +400,7 @@ outc AS (SELECT document_id, entity_type, received, CAST(has_good AND NOT (entit
 
 @query("s9_outcome_counts", f"WITH {COUNTS} SELECT * FROM outc")
 def outcome_counts(t):
-    valid = I.validate_all(export.envelopes(documents(t)))
+    valid = _validated_once(export.envelopes(documents(t)))
     return I.outcome_counts(valid, _classified(t, valid))
 
 
@@ -413,8 +419,8 @@ SELECT w.*, CASE WHEN rejected_total > 0 THEN 'partial' ELSE 'processed' END AS
 FROM w JOIN good ON w.document_id = good.id""",
 )
 def batch_audit(t):
-    envelope = export.envelopes(documents(t))
-    valid = I.validate_all(envelope)
+    envelope = I.parsed_once(export.envelopes(documents(t), hashed=True), hashed=True)
+    valid = _validated_once(envelope)
     counts = I.outcome_counts(valid, _classified(t, valid))
     out = I.audit_rows(envelope, counts, export.rejections(valid))
     return out.withColumns(

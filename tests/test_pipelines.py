@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from conftest import T0, minutes, regular
 from subjectseries.plans import datasets
-from subjectseries.plans.ingest import ingest
+from subjectseries.plans.ingest import ingest, validate_all
 from subjectseries.plans.policies import DiagnosticsPolicy, EpisodePolicy
 from subjectseries.plans.queries import SubjectTables
 from subjectseries.schemas import SOURCES, STORED
@@ -71,6 +71,19 @@ def test_envelope(spark, body, code):
     assert export.envelopes(docs(spark, body)).first().reject_code == code
 
 
+def test_documents_are_parsed_once_and_not_sorted(spark):
+    kinds = [{**HEAD, "glucose_samples": [sample("a", 90), 7, [1]], "meal_events": [{"foods": "x"}]}, "{not json", {**HEAD, "workouts": None}]
+    envelope = export.envelopes(docs(spark, *kinds), hashed=True)
+    plain = export.document_hash(export.envelopes(docs(spark, *kinds))).select("payload_sha256").collect()
+    assert plain == envelope.select("payload_sha256").collect() and plain[1][0] is None
+    assert [r.reject_code for r in envelope.collect()] == [None, "INVALID_REQUEST", "INVALID_REQUEST"]
+    for df in validate_all(envelope).values():
+        read = spark.read.parquet(str(Path(df.inputFiles()[0]).parent))
+        assert "body" not in read.columns and "entity" not in read.columns
+    messages = {(r["index"], r.rejection.message) for r in validate_all(envelope)["glucose_samples"].filter("rejection is not null").collect()}
+    assert messages == {(1, "record must be a JSON object"), (2, "record must be a JSON object")}
+
+
 def tables(spark):
     glucose = [("s", "x", f"g{i}", t, Decimal(100 + i), None) for i, t in enumerate(regular())]
     point = "subject_id string, source string, source_sample_id string, "
