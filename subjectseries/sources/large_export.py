@@ -79,15 +79,15 @@ def structure(found: DataFrame) -> DataFrame:
     within = _running("at", keys=("document_id", "block"))
     turned = found.withColumn("turns", F.sum("flip").over(within) - F.col("flip"))
     even = F.col("turns") % 2 == 0
-    both = materialize(
-        turned.withColumns(
-            {
-                "same": F.when(even, F.col("outside")).otherwise(F.col("inside")),
-                "other": F.when(even, F.col("inside")).otherwise(F.col("outside")),
-            }
-        ).drop("outside", "inside"),
-        "export-fragments",
-    )
+    chosen = turned.withColumns(
+        {
+            "same": F.when(even, F.col("outside")).otherwise(F.col("inside")),
+            "other": F.when(even, F.col("inside")).otherwise(F.col("outside")),
+        }
+    ).drop("outside", "inside")
+    # Running sums for both starts come from the same sort; later only one of them is taken.
+    summed = chosen.withColumns({"same_run": F.sum("same").over(within), "other_run": F.sum("other").over(within)})
+    both = materialize(summed, "export-fragments")
     blocks = both.groupBy("document_id", "block").agg(
         F.sum("flip").alias("flips"), F.sum("same").alias("same_sum"), F.sum("other").alias("other_sum")
     )
@@ -101,7 +101,8 @@ def structure(found: DataFrame) -> DataFrame:
     known = both.join(starts, ["document_id", "block"]).withColumn(
         "step", F.when(F.col("start_in") == 0, F.col("same")).otherwise(F.col("other"))
     )
-    after = F.col("depth") + F.sum("step").over(within)
+    run = F.when(F.col("start_in") == 0, F.col("same_run")).otherwise(F.col("other_run"))
+    after = F.col("depth") + run
     placed = known.withColumn("after", after).select(
         "document_id",
         "block",
@@ -116,7 +117,6 @@ def structure(found: DataFrame) -> DataFrame:
 
 def elements(placed: DataFrame) -> DataFrame:
     """(document_id, element, text, before, after, in_string): fields and items, numbered by document."""
-    placed = materialize(placed, "export-structure")
     along = _running("block", keys=("document_id",))
     ends = placed.groupBy("document_id", "block").agg(F.sum("ends").alias("n"))
     ahead = ends.select("document_id", "block", (F.sum("n").over(along) - F.col("n")).alias("ahead"))
@@ -199,7 +199,19 @@ def read_large_documents(spark: SparkSession, path: str, subject_id: str | None
     good = F.col("sound") & (blank | F.col("record").isNotNull() & (~F.col("is_field") | (F.length("key") > 0)))
     checked = materialize(
         parsed.withColumn("good", F.coalesce(good, F.lit(False))).select(
-            "document_id", "element", "owner", "is_field", "is_array", "key", "value", "listed", "record", "digest", "good"
+            "document_id",
+            "element",
+            "owner",
+            "is_field",
+            "is_array",
+            "key",
+            # Texts of records are not needed any more, only those of the header.
+            F.when(F.col("is_field") & F.col("key").isin(list(HEADER)), F.col("value")).alias("value"),
+            "listed",
+            # Of all others it matters only that they parse.
+            F.when(F.col("listed"), F.col("record")).alias("record"),
+            "digest",
+            "good",
         ),
         "export-checked",
     )
