@@ -53,5 +53,5 @@ def materialize(df, label: str):
     """Write ``df`` once to the scratch folder and read it back."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
