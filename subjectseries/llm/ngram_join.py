@@ -1,8 +1,11 @@
 """Operator 4: n-gram Jaccard join by grouped prefixes, and the classes it links.
 
 Texts are sets of five-word shingles; two link when their Jaccard similarity is 0.8 or more.
-Texts of one set are one node. A set's prefix holds its rarest shingles, by a table of fixed
-size with the number of occurrences per hash bucket; similar sets share one of them. Nodes with
+Texts of one set are one node. A set's prefix holds its rarest shingles; similar sets share one
+of them. The order is only an estimate, but one that all sets share: shingles that are common in
+one text of sixteen come last, and a table of fixed size with the number of occurrences per hash
+bucket orders the others. Without the former, a bucket of a large corpus holds so many rare
+shingles that a shingle of hundreds of texts does not stand out. Nodes with
 one prefix and size form a group, groups are indexed by the shingles of their prefix, pairs of
 groups are filtered by size and position, and members are verified on their whole sets.
 
@@ -25,6 +28,7 @@ further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -42,6 +46,10 @@ from subjectseries.session import materialize
 PERCENT = 80
 #: Counts of shingles by the upper bits of their hash, to order prefixes by rarity.
 BUCKET_BITS = 18
+#: One text in so many is counted shingle by shingle, and so many of its common shingles, the most
+#: frequent ones, are told apart; both only shape the order.
+COUNTED = 16
+MOST_COMMON = 1 << 19
 #: A list of more rows than this is dealt over several.
 LONG_LIST = 20_000
 #: Rounds with leaders of other classes before the rest is joined in full, and the share of the
@@ -52,6 +60,14 @@ FEW = 50
 FILTER_BITS = 26
 
 
+class Rarity(NamedTuple):
+    """What orders shingles: counts by bucket, and the sorted common shingles with theirs."""
+
+    buckets: np.ndarray
+    common: np.ndarray
+    times: np.ndarray
+
+
 def _node(found: np.ndarray) -> int:
     """The number of a set: equal sets have equal numbers."""
     if not len(found):
@@ -61,11 +77,15 @@ def _node(found: np.ndarray) -> int:
     return int(mix(np.array([total])).view(np.int64)[0])
 
 
-def _prefix(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prefix(found: np.ndarray, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
     """The rarest shingles of a set, in the order all sets share, and their bucket counts."""
     length = len(found) - -(-PERCENT * len(found) // 100) + 1
-    rare = counts[found.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)]
-    order = np.lexsort((found, rare))[:length]
+    rare = rarity.buckets[found.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)]
+    keys = [found, rare]
+    if len(rarity.common):
+        at = np.minimum(np.searchsorted(rarity.common, found), len(rarity.common) - 1)
+        keys.append(np.where(rarity.common[at] == found, rarity.times[at], 0))
+    order = np.lexsort(keys)[:length]
     return found[order], rare[order]
 
 
@@ -105,33 +125,55 @@ def may_link(n: pd.Series, x: pd.Series, m: pd.Series, y: pd.Series) -> pd.Serie
     )
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences by bucket, and of every shingle in the texts that are counted so."""
+
+    def rows(shingle, bucket, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(shingle, pa.int64()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())],
+            names=["shingle", "bucket", "n"],
+        )
+
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         sets = list(shingle_sets([t or "" for t in batch.column(0).to_pylist()]))
         found = np.concatenate([np.zeros(0, np.int64), *sets]).view(np.uint64)
         at = (found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         counts += np.bincount(at, minlength=len(counts))
+        # Copies of a text are one node: once in a batch is enough, and all are counted or none.
+        chosen = {node: s for s in sets if len(s) and (node := _node(s)) % COUNTED == 0}
+        values, n = np.unique(np.concatenate([np.zeros(0, np.int64), *chosen.values()]), return_counts=True)
+        for k in range(0, len(values), 65536):
+            part = values[k : k + 65536]
+            yield rows(part, pa.nulls(len(part), pa.int32()), n[k : k + 65536])
     used = np.flatnonzero(counts)
     for k in range(0, len(used), 65536):
         part = used[k : k + 65536]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"]
-        )
+        yield rows(pa.nulls(len(part), pa.int64()), part.astype(np.int32), counts[part])
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of shingles by bucket over all documents; its size is fixed."""
-    sums = (
+def rarity(docs: DataFrame) -> Rarity:
+    """The order of shingles for all documents; its size is fixed."""
+    sums = materialize(
         docs.select("text")
-        .mapInArrow(_count_buckets, "bucket int, n long")
-        .groupBy("bucket")
+        .mapInArrow(_count, "shingle long, bucket int, n long")
+        .groupBy("shingle", "bucket")
         .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .where("shingle is null or n > 1"),
+        "join-counts",
     )
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
-    return out
+    by_bucket = sums.where("shingle is null").select("bucket", "n").toPandas()
+    buckets = np.zeros(1 << BUCKET_BITS, np.int64)
+    buckets[by_bucket["bucket"].to_numpy(np.int64)] = by_bucket["n"].to_numpy(np.int64)
+    shingles = sums.where("shingle is not null").select("shingle", "n", F.floor(4 * F.log2("n")).alias("level"))
+    least, room = None, MOST_COMMON
+    for row in shingles.groupBy("level").agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect():
+        room -= row["rows"]
+        if room < 0:
+            break
+        least = row["level"]
+    common = shingles.where(F.col("level") >= F.lit(least)).orderBy("shingle").select("shingle", "n").toPandas()
+    return Rarity(buckets, common["shingle"].to_numpy(np.int64), common["n"].to_numpy(np.int64))
 
 
 def _members(counts):
@@ -219,16 +261,6 @@ def _may_fit(n: Column, i: Column, m: Column, j: Column) -> Column:
     return alike & ((100 + PERCENT) * most >= PERCENT * (n + m))
 
 
-def _enough_common(common: Column, n: Column, m: Column) -> Column:
-    """Whether two sets whose prefixes share ``common`` shingles can be similar.
-
-    Of the two prefixes one ends first in the common order. What it holds of the other set lies in
-    the other prefix, so the sets share no more than that and all that follows in its own set.
-    """
-    after = F.ceil(F.greatest(n, m) * PERCENT / 100 - 1e-9) - 1
-    return (100 + PERCENT) * (common + after) >= PERCENT * (n + m)
-
-
 def _filter_bits(ids: DataFrame) -> np.ndarray:
     """A bit for each of two hashes of the ids, set in tasks and merged by slice."""
     slices = 64
@@ -318,18 +350,21 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _stars(postings: DataFrame) -> DataFrame:
     """(gid, leader) of groups that share a shingle and fit; every list has two leaders.
 
-    One is its smallest group, the other is chosen by hash. Leaders of a shingle's lists, where
-    it has several, are tried against the first of them.
+    One is the group with the fewest rarer shingles: of near copies of a text, that with the
+    fewest changes, which the others are nearest to. The other is chosen by hash. Leaders of a
+    shingle's lists, where it has several, are tried against the first of them.
     """
     lists = Window.partitionBy("token", "salt")
-    smallest = F.min(F.struct("n", "gid", "pos")).over(lists)
+    central = F.min(F.struct("pos", "n", "gid")).over(lists)
     drawn = F.min(F.struct(F.xxhash64("gid").alias("draw"), "n", "gid", "pos")).over(lists)
-    leaders = F.array(*(F.struct(f"{x}.n", f"{x}.gid", f"{x}.pos") for x in ("smallest", "drawn")))
-    led = postings.withColumn("smallest", smallest).withColumn("drawn", drawn)
+    leaders = F.array(*(F.struct(f"{x}.n", f"{x}.gid", f"{x}.pos") for x in ("central", "drawn")))
+    led = postings.withColumn("central", central).withColumn("drawn", drawn)
     near = led.select("gid", "n", "pos", F.explode(leaders).alias("lead"))
-    heads = postings.where("spread").withColumn("smallest", smallest).where("gid = smallest.gid")
-    first = F.min(F.struct("n", "gid", "pos")).over(Window.partitionBy("token"))
-    far = heads.withColumn("lead", first).select("gid", "n", "pos", "lead")
+    heads = postings.where("spread").withColumn("central", central).where("gid = central.gid")
+    first = F.min(F.struct("pos", "n", "gid")).over(Window.partitionBy("token"))
+    far = heads.withColumn("first", first).select(
+        "gid", "n", "pos", F.struct("first.n", "first.gid", "first.pos").alias("lead")
+    )
     # A leader seldom meets a group at the first shingle that they share, so the position counts
     # in full: what comes before it may be shared too.
     fits = _may_fit(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))
@@ -362,7 +397,7 @@ def link_classes(docs: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         row_key(F.col("doc_id"), F.col("text")).alias("row"),
     )
-    counts = spark.sparkContext.broadcast(bucket_counts(docs))
+    counts = spark.sparkContext.broadcast(rarity(docs))
     members = materialize(
         docs.mapInArrow(_members(counts), "doc_id long, row string, n long, node long, gid long, parity binary"),
         "join-members",
@@ -509,8 +544,13 @@ def _leaders(rows: DataFrame, turn: int) -> DataFrame:
     return _ordered(met).distinct()
 
 
-def _rest(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """All candidate pairs of nodes in different classes."""
+def _meetings(rows: DataFrame) -> DataFrame:
+    """(gid, comp, gid2, comp2): classes of groups that meet in a list where they can be similar.
+
+    The shingle they meet at has to allow the similarity as the first that they share, as it does
+    for similar sets where they first meet. So of sets with a common passage, which comes last in
+    the order, only those meet that the passage alone can make similar.
+    """
     other = rows.select(
         "token",
         F.col("gid").alias("gid2"),
@@ -518,20 +558,17 @@ def _rest(rows: DataFrame, labelled: DataFrame) -> DataFrame:
         F.col("pos").alias("j"),
         F.col("comp").alias("comp2"),
     )
-    groups = (
+    return (
         rows.join(other, "token")
         .where("comp < comp2")
-        .where(100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))
-        .groupBy("gid", "comp", "gid2", "comp2")
-        .agg(
-            F.count_distinct("token").alias("common"),
-            F.max(_fits(F.col("n"), F.col("pos"), F.col("m"), F.col("j"))).alias("fits"),
-            F.first("n").alias("n"),
-            F.first("m").alias("m"),
-        )
-        .where("fits")
-        .where(_enough_common(F.col("common"), F.col("n"), F.col("m")))
+        .where(_fits(F.col("n"), F.col("pos"), F.col("m"), F.col("j")))
+        .select("gid", "comp", "gid2", "comp2")
     )
+
+
+def _rest(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """All candidate pairs of nodes in different classes."""
+    groups = _meetings(rows).distinct()
     a = labelled.select("gid", "comp", F.col("node").alias("a"))
     b = labelled.select(F.col("gid").alias("gid2"), F.col("comp").alias("comp2"), F.col("node").alias("b"))
     between = groups.join(a, ["gid", "comp"]).join(b, ["gid2", "comp2"]).select("a", "b")
