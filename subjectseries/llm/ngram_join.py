@@ -267,15 +267,15 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     size = (1 << FILTER_BITS) // slices
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
         for batch in batches:
             for at in _filter_slots(batch.column(0).to_numpy(zero_copy_only=False)):
-                bits[at] = True
+                np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         for k in range(slices):
-            part = bits[k * size : (k + 1) * size]
+            part = bits[k * size // 8 : (k + 1) * size // 8]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([np.packbits(part).tobytes()])],
+                    [pa.array([k], pa.int32()), pa.array([part.tobytes()])],
                     names=["slice", "bits"],
                 )
 

@@ -13,7 +13,8 @@ _BYTE = _SEED.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uin
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = _SEED.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 1 << 20
+#: Bytes that are hashed at a time; what a worker keeps and needs besides is some sixty times as much.
+_BLOCK = 1 << 18
 _SPACE = re.compile(rb"[ \t-\r]")
 
 _powers: tuple[np.ndarray, np.ndarray] | None = None

@@ -1,5 +1,7 @@
 """What keeps the join of op 4 from growing with the square of a family of texts."""
 
+import tracemalloc
+
 import numpy as np
 
 from subjectseries.llm import ngram_join
@@ -38,3 +40,24 @@ def test_near_copies_are_led_by_the_one_with_the_fewest_changes(spark):
     rows = [(1, 0, False, k, 140 + k, 12 if k != 5 else 0, k, k) for k in range(8)]
     tried = ngram_join._stars(spark.createDataFrame(rows, ROWS)).collect()
     assert {r.gid for r in tried if r.leader == 5} == {0, 1, 2, 3, 4, 6, 7}
+
+
+def test_shingles_of_many_texts_need_little_memory():
+    texts = [prose(i, 1000) for i in range(400)]
+    list(shingle_sets(texts[:1]))
+    tracemalloc.start()
+    kept, most = tracemalloc.get_traced_memory()
+    for found in shingle_sets(texts):
+        del found
+    kept, most = (x - kept for x in tracemalloc.get_traced_memory())
+    tracemalloc.stop()
+    assert most < 40 << 20 and kept < 12 << 20
+
+
+def test_filter_bits_mark_what_the_sets_are_read_by(spark):
+    ids = list(range(-50, 3000, 7))
+    bits = ngram_join._filter_bits(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    slots = ngram_join._filter_slots(np.array(ids))
+    assert np.unpackbits(bits).sum() == len(np.union1d(*slots))
+    for at in slots:
+        assert (np.unpackbits(bits)[at] == 1).all()
