@@ -315,13 +315,13 @@ def fit(
         .mapInArrow(_count, "code long, toxic long, ordinary long")
         .groupBy("code")
         .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-        .toPandas()
-        .sort_values("code")
+        .toArrow()
     )
+    order = np.argsort(counted["code"].to_numpy())
     model = build(
-        counted["code"].to_numpy(np.int64),
-        counted["toxic"].to_numpy(np.float64),
-        counted["ordinary"].to_numpy(np.float64),
+        counted["code"].to_numpy()[order],
+        counted["toxic"].to_numpy()[order].astype(np.float64),
+        counted["ordinary"].to_numpy()[order].astype(np.float64),
         prior,
     )
     if model.usable:

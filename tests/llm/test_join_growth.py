@@ -35,6 +35,18 @@ def test_common_shingles_come_last_whatever_their_buckets_say(spark, empty_docs)
     assert not len(none.common) and not none.buckets.any()
 
 
+def test_the_order_of_shingles_takes_little_of_the_driver(spark):
+    passage = prose(500, 4000)
+    docs = documents(spark, [(i, f"{prose(i, 800)} {passage}") for i in range(200)])
+    ngram_join.rarity(docs.limit(1))
+    tracemalloc.start()
+    found = ngram_join.rarity(docs)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (found.buckets > 0).sum() > 100_000 and len(found.common) > 3000
+    assert most < 8 << 20
+
+
 def test_near_copies_are_led_by_the_one_with_the_fewest_changes(spark):
     # Group 5 is not the smallest one, but the shared shingle is its rarest.
     rows = [(1, 0, False, k, 140 + k, 12 if k != 5 else 0, k, k) for k in range(8)]
