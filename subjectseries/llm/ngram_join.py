@@ -155,7 +155,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarity(docs: DataFrame) -> Rarity:
     """The order of shingles for all documents; its size is fixed.
 
-    Its columns reach the driver as arrays: a Python object for each value would take twenty times as much.
+    Its columns reach the driver as arrays: a Python object for each value takes many times as much.
     """
     sums = materialize(
         docs.select("text")
