@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subjectseries.llm.common import held_out, small_batches
-from subjectseries.llm.toxicity import BITS, _blocks, letter_codes
+from subjectseries.llm.toxicity import BITS, letter_codes
 
 SIZE = 1024
 GRAM = 3
 SEED = 20
 BLOCK = 4096
 UNKNOWN = "und"
+_CHARS = 1 << 20
 
 _vectors: dict[int, np.ndarray] = {}
 
@@ -99,6 +100,18 @@ def bundle(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about a million characters, so that long batches need little memory."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= _CHARS:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
+
+
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """Blocks of bounded characters and rows, so that count matrices stay small."""
     for start, block in _blocks(texts):

@@ -31,7 +31,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,12 +116,10 @@ def most_common(n: int, m: int, x: bytes, y: bytes) -> int:
     return (n + m - apart) // 2
 
 
-@F.pandas_udf(BooleanType())
-def may_link(n: pd.Series, x: pd.Series, m: pd.Series, y: pd.Series) -> pd.Series:
-    rows = zip(n.tolist(), m.tolist(), x, y)
-    return pd.Series(
-        [(100 + PERCENT) * most_common(a, b, p, q) >= PERCENT * (a + b) for a, b, p, q in rows], dtype=bool
-    )
+@F.arrow_udf(BooleanType())
+def may_link(n: pa.Array, x: pa.Array, m: pa.Array, y: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (n, m, x, y)))
+    return pa.array([(100 + PERCENT) * most_common(a, b, p, q) >= PERCENT * (a + b) for a, b, p, q in rows], pa.bool_())
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

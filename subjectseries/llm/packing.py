@@ -36,8 +36,8 @@ SCHEMA = (
     "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 )
 #: Words and parts of words kept by the tokenizer's caches in each Python worker, twice as many at most.
-CACHED_WORDS = 250_000
-CACHED_PARTS = 150_000
+CACHED_WORDS = 65_536
+CACHED_PARTS = 65_536
 #: Characters of a text that are split into words at a time.
 TEXT_PIECE = 1 << 20
 

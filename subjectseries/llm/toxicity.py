@@ -8,8 +8,8 @@ under the toxic model minus that under the ordinary one, divided by its number o
 ``PAD`` predictions of average evidence are added, since a few letters prove little. A logistic
 curve, fitted on training rows that the models did not see, turns it into a score.
 
-Counting runs where the texts are read; n-grams are summed in each task before they are
-shuffled. Labels are learned from at most ``most_labels`` labelled rows (those with the
+Counting runs where the texts are read, some 130,000 characters at a time; n-grams are summed in
+each task before they are shuffled, and a task that holds many distinct ones hands them on meanwhile. Labels are learned from at most ``most_labels`` labelled rows (those with the
 smallest hash of the id). The model keeps all their n-grams, as the smoothing rests on the rare
 ones, so it grows with what these rows hold. All texts are scored in whole.
 
@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +41,10 @@ FOLDS = 5
 _BINS, _RANGE = 2000, 2.0
 #: Predictions of average evidence that every text is given besides its own.
 PAD = 100
-_CHARS = 1 << 20
+#: Characters that are cut into n-grams at a time; what a worker needs for them is some hundred times as much.
+_CHARS = 1 << 17
+#: Distinct n-grams by class that a counting task holds before it hands on its sums.
+_HELD = 1 << 18
 
 _letters: np.ndarray | None = None
 
@@ -94,10 +96,25 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(ends, where, side="right")
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about a million characters, so that long batches need little memory."""
+def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``_CHARS`` characters and the index of the first, so that little memory is needed.
+
+    A text that is longer by itself comes in pieces, each a run of its own. They are cut before
+    spaces, which end words and lower-case alike, so they hold the n-grams of the whole text.
+    """
     start = size = 0
     for i, text in enumerate(texts):
+        if len(text) > _CHARS:
+            if start < i:
+                yield start, texts[start:i]
+            at = 0
+            while at < len(text):
+                stop = text.find(" ", at + _CHARS)
+                stop = len(text) if stop < 0 else stop
+                yield i, [text[at:stop]]
+                at = stop
+            start, size = i + 1, 0
+            continue
         size += len(text)
         if size >= _CHARS:
             yield start, texts[start : i + 1]
@@ -181,13 +198,13 @@ class Model:
     def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Length-normalised log-ratio of each text and its number of predictions."""
         totals, counts = np.zeros(len(texts)), np.zeros(len(texts))
-        for start, block in _blocks(texts):
+        for start, block in _pieces(texts):
             codes, owner = grams(block)
             ratio, missing = self.grams.get(codes)
             ratio[missing] = self.contexts.get(codes[missing] >> BITS)[0]
             size = len(block)
-            totals[start : start + size] = np.bincount(owner, ratio, size)[:size]
-            counts[start : start + size] = np.bincount(owner, minlength=size)[:size]
+            totals[start : start + size] += np.bincount(owner, ratio, size)[:size]
+            counts[start : start + size] += np.bincount(owner, minlength=size)[:size]
         return (totals + PAD * self.average) / (counts + PAD), counts
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -258,22 +275,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of n-grams by class, merged while a task runs; the texts themselves go no further."""
-    codes, counts = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+    """Sums of n-grams by class, merged while a task runs; the texts themselves go no further.
+
+    An n-gram and the class of its text are one key. Blocks are merged when they hold as many
+    keys as the sums so far, so merging takes no longer when the sums are large.
+    """
+    sums: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    parts, waiting = [], 0
     for batch in batches:
-        texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy() > 0
-        for start, block in _blocks(texts):
-            found, owner = grams(block)
-            both = np.zeros((len(found), 2), np.int64)
-            both[np.arange(len(found)), 1 - toxic[start + owner].astype(int)] = 1
-            codes = np.concatenate((codes, found))
-            counts = np.concatenate((counts, both))
-            codes, at = np.unique(codes, return_inverse=True)
-            counts = np.stack([np.bincount(at, c, len(codes)) for c in counts.T], 1).astype(np.int64)
-    for start in range(0, len(codes), 100_000):
-        part = slice(start, start + 100_000)
+        texts, toxic = batch.column(0).to_pylist(), (batch.column(1).to_numpy() > 0).astype(np.int64)
+        for start, block in _pieces(texts):
+            codes, owner = grams(block)
+            parts.append(np.unique(codes << 1 | toxic[start + owner], return_counts=True))
+            waiting += len(parts[-1][0])
+            if waiting >= max(_CHARS, len(sums[0])):
+                sums, parts, waiting = _merged([sums, *parts]), [], 0
+                if len(sums[0]) >= _HELD:
+                    yield from _rows(*sums)
+                    sums = (sums[0][:0], sums[1][:0])
+    yield from _rows(*_merged([sums, *parts]))
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys and the sums of their counts."""
+    keys, _, (counts,) = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+    return keys, counts.astype(np.int64)
+
+
+def _rows(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(keys), 100_000):
+        key, n = keys[start : start + 100_000], counts[start : start + 100_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(codes[part]), pa.array(counts[part, 0]), pa.array(counts[part, 1])],
+            [pa.array(key >> 1), pa.array(n * (key & 1)), pa.array(n * (1 - (key & 1)))],
             names=["code", "toxic", "ordinary"],
         )
 
@@ -348,9 +381,9 @@ def scorer(model: Model, docs: DataFrame):
     """A function from a text column to a score column between 0 and 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores([t or "" for t in texts]))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores([t or "" for t in texts.to_pylist()]))
 
     return lambda text: score(text.cast("string"))
 

@@ -126,6 +126,15 @@ def bins_closed(bins, closed):
     return next(b for b in closed if b not in still)
 
 
+def test_tokenizer_keeps_few_words():
+    made = packing.WordTokenizer()
+    letters = np.random.default_rng(2).integers(97, 123, (260_000, 9), dtype=np.uint8)
+    for row in np.split(letters, 26):
+        made.ids(b" ".join(map(bytes, row)).decode())
+    kept = [made.words, made.words.older, made.parts, made.parts.older]
+    assert 100_000 < sum(map(len, kept)) <= 1 << 18
+
+
 def test_packing_is_whole_and_gapless(spark):
     rows = [(i, prose(i, 10 + 37 * i)) for i in range(60)] + [(70, None), (71, ""), (72, prose(1, 9000)), (5, "again"), (None, "x")]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int").repartition(3)

@@ -1,10 +1,12 @@
 """Toxicity, quality and language: held-out accuracy, edge cases, and the model's arithmetic."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from subjectseries.llm import language, quality, toxicity
 
@@ -187,6 +189,56 @@ def test_toxicity_keeps_all_ngrams(spark):
     assert sum((keys >= 0).sum() for keys, _, _ in model.grams.levels) == len(want) > 1_000_000
 
 
+def _counted(rows):
+    texts, labels = zip(*rows)
+    sums = Counter()
+    for part in toxicity._count(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(labels)], names=["text", "label"])])):
+        for code, bad, plain in zip(*(c.to_pylist() for c in part.columns)):
+            sums[code, 1] += bad
+            sums[code, 0] += plain
+    return +sums
+
+
+def test_ngrams_of_a_class_are_counted_whatever_is_held_at_a_time(monkeypatch):
+    text = "ΟΔΟΣ ὈΔΥΣΣΕΎΣ. idiot\n" * 40
+    rows = [(t, b) for _, t, b in _texts(40)] + [("", 1), (text, 0), (text.replace(" ", "_"), 1)]
+    want = Counter((c, b) for t, b in rows for c in toxicity.grams([t])[0].tolist())
+    assert _counted(rows) == want
+    for chars, held in ((100, 1 << 18), (1, 50), (300, 1)):
+        monkeypatch.setattr(toxicity, "_CHARS", chars)
+        monkeypatch.setattr(toxicity, "_HELD", held)
+        assert _counted(rows) == want
+
+
+def test_long_texts_weigh_the_same_in_pieces(monkeypatch):
+    rows = _texts(60)
+    codes, owner = toxicity.grams([t for _, t, _ in rows])
+    bad = np.array([b for *_, b in rows])[owner]
+    found, at = np.unique(codes, return_inverse=True)
+    model = toxicity.build(found, np.bincount(at, bad), np.bincount(at, 1 - bad), 0.3)
+    texts = ["", " ".join(t for _, t, _ in rows), "idiot", rows[0][1] * 9, "a" * 5000]
+    want = model.evidence(texts)
+    monkeypatch.setattr(toxicity, "_CHARS", 64)
+    got = model.evidence(texts)
+    assert np.allclose(got[0], want[0], rtol=1e-12) and (got[1] == want[1]).all()
+
+
+def test_counting_needs_little_memory():
+    words = np.random.default_rng(3).integers(0, 5000, (400, 2000))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([" ".join(f"w{chr(97 + w % 26)}{w * 7919 % 5000:x}" for w in row) for row in words]), pa.array([0] * 400)],
+        names=["text", "label"],
+    )
+    long = pa.RecordBatch.from_arrays([pa.array(["".join(batch.column(0).to_pylist())]), pa.array([1])], names=["text", "label"])
+    for given in (batch, long):
+        tracemalloc.start()
+        for part in toxicity._count(iter([given])):
+            del part
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert most < 40 << 20
+
+
 def test_letters_of_all_planes_have_codes():
     text = "a\U00010330\U00020000\U00010400\U0001F600 1\u4e2d"
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
