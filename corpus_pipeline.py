@@ -14,6 +14,9 @@ from subjectseries.llm import decontamination, ngram_join, packing, pii, toxicit
 from subjectseries.llm.common import table
 from subjectseries.session import materialize
 
+#: Packing's caches: Python workers keep them while later stages and runs use the same workers.
+CACHES = {"words": 65_536, "parts": 65_536}
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it learns from labelled ones of ``docs``."""
@@ -42,7 +45,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their token ids and their places in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, **CACHES)
 
 
 STAGES = [

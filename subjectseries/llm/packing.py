@@ -36,8 +36,8 @@ SCHEMA = (
     "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 )
 #: Words and parts of words kept by the tokenizer's caches in each Python worker, twice as many at most.
-CACHED_WORDS = 65_536
-CACHED_PARTS = 65_536
+CACHED_WORDS = 250_000
+CACHED_PARTS = 150_000
 #: Characters of a text that are split into words at a time.
 TEXT_PIECE = 1 << 20
 
@@ -128,14 +128,15 @@ class WordTokenizer:
         return b"".join(parts)
 
 
-_tokenizers: dict[str | None, WordTokenizer] = {}
+_tokenizers: dict[tuple[str | None, int, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str | None) -> WordTokenizer:
+def tokenizer(path: str | None, words: int = CACHED_WORDS, parts: int = CACHED_PARTS) -> WordTokenizer:
     """One tokenizer for each Python worker, so that its cache lives over tasks."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    key = (path, words, parts)
+    if key not in _tokenizers:
+        _tokenizers[key] = WordTokenizer(*key)
+    return _tokenizers[key]
 
 
 class BestFit:
@@ -180,16 +181,19 @@ def pack(
     path: str | None = None,
     size: int = SEQUENCE,
     places: int = OPEN,
+    words: int = CACHED_WORDS,
+    parts: int = CACHED_PARTS,
 ) -> DataFrame:
     """One row per piece; ``ids`` holds its token ids as little-endian unsigned 32-bit numbers.
 
     ``sequence_id`` is the task's number in the upper bits and a counter in the lower ones.
-    ``path`` names a tokenizer file that works word by word (by default the public one).
+    ``path`` names a tokenizer file that works word by word (by default the public one);
+    ``words`` and ``parts`` bound its caches, which trade memory for time and change no row.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).ids
+        encode = tokenizer(path, words, parts).ids
         end = END_ID.to_bytes(ID_BYTES, "little")
         bins, base = BestFit(size, places), TaskContext.get().partitionId() << 40
         for batch in batches:

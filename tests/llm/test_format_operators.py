@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from subjectseries.llm import chat, nearest, packing, warc
 from subjectseries.llm.queries import ORACLES, QUERIES
 from subjectseries.session import scratch_dir
@@ -126,8 +127,8 @@ def bins_closed(bins, closed):
     return next(b for b in closed if b not in still)
 
 
-def test_tokenizer_keeps_few_words():
-    made = packing.WordTokenizer()
+def test_tokenizer_of_the_pipeline_keeps_few_words():
+    made = packing.tokenizer(None, **corpus_pipeline.CACHES)
     letters = np.random.default_rng(2).integers(97, 123, (260_000, 9), dtype=np.uint8)
     for row in np.split(letters, 26):
         made.ids(b" ".join(map(bytes, row)).decode())
